@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumensift.llm import media, packing, quality_rules, secrets, simhash, token_counts
+from lumensift.llm import media, packing, quality_rules, secrets, simhash, suffix_dedup, token_counts
 from lumensift.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept")
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
@@ -37,6 +41,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
