@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumensift.llm import media, packing, quality_rules, secrets, simhash, suffix_dedup, token_counts
+from lumensift.llm import media, packing, piece_dropout, quality_rules, secrets, simhash, suffix_dedup, token_counts
 from lumensift.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
+def op8_piece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_dropout.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
+    "op8_piece_dropout": op8_piece_dropout,
     "op9_secrets": op9_secrets,
     "op10_media": op10_media,
 }
