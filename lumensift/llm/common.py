@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -54,18 +56,30 @@ def map_blocks(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch, list[
     return df.mapInArrow(run, schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, or the context's checkpoint folder. Only where neither is set (tests) a temporary one is made."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        named = Path(tempfile.mkdtemp(prefix="checkpoint")).as_uri()
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder of the session, its lineage cut. Only where none is set (tests) a temporary folder is taken."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir() and not df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        context.setCheckpointDir(Path(tempfile.mkdtemp(prefix="checkpoint")).as_uri())
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    """df written to the shared folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session, which its owner sizes by the input."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

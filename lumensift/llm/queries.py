@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumensift.llm import media, packing, piece_dropout, quality_rules, secrets, simhash, suffix_dedup, token_counts
+from lumensift.llm import media, packing, piece_dropout, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_counts, toxicity
 from lumensift.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept")
     return quality_rules.judged(table(spark, sf_dir, "documents")).select(*columns)
@@ -27,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
@@ -43,16 +51,19 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_counts": op1_token_counts,
-    "op2_suffix_dedup": op2_suffix_dedup,
-    "op4_quality_rules": op4_quality_rules,
-    "op5_packing": op5_packing,
-    "op7_simhash": op7_simhash,
-    "op8_piece_dropout": op8_piece_dropout,
-    "op9_secrets": op9_secrets,
-    "op10_media": op10_media,
-}
+_ALL = (
+    op1_token_counts,
+    op2_suffix_dedup,
+    op3_quality_classifier,
+    op4_quality_rules,
+    op5_packing,
+    op6_toxicity,
+    op7_simhash,
+    op8_piece_dropout,
+    op9_secrets,
+    op10_media,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 
 def _rules_sql() -> str:
