@@ -90,7 +90,9 @@ def runs(data: np.ndarray, bounds: np.ndarray, least: int, k: int = K) -> tuple[
     ends = valid[:n].copy()
     ends[:-1] &= ~valid[1:n] | (anchor[1:] != anchor[:-1])
     first = np.flatnonzero(begins)
-    return first, np.flatnonzero(ends) + 1 - first, h[anchor[first]]
+    chosen = h[anchor[first]]  # least of many, so small; mixed again, to fill the buckets evenly
+    chosen = (chosen ^ (chosen >> np.uint64(32))) * _MIX
+    return first, np.flatnonzero(ends) + 1 - first, chosen ^ (chosen >> np.uint64(29))
 
 
 def joined(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
