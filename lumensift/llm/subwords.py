@@ -11,9 +11,20 @@ from pyspark.sql import functions as F
 from lumensift.llm.common import held_out, texts
 
 
+#: Words whose n-grams are made together, which bounds the memory.
+TOGETHER = 50_000
+
+
 def ngram_buckets(words: list[str], low: int, high: int, bits: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The buckets (0 to 2**bits - 1) of the n-grams, low to high characters long, of each word between marks of its ends, and where
     each word's begin (then the end). whole: the word itself comes first. Characters are code points."""
+    parts = [_ngram_buckets(words[a : a + TOGETHER], low, high, bits, whole) for a in range(0, len(words), TOGETHER)]
+    sizes = np.concatenate([[0], *(n for _, n in parts)]).astype(np.int64)
+    return np.concatenate([np.zeros(0, np.int32), *(b for b, _ in parts)]), np.cumsum(sizes)
+
+
+def _ngram_buckets(words: list[str], low: int, high: int, bits: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a few words, with the number of buckets of each."""
     marked = [f"\x02{w}\x03" for w in words]
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
@@ -26,10 +37,10 @@ def ngram_buckets(words: list[str], low: int, high: int, bits: int, whole: bool
     def put(values: np.ndarray, word: np.ndarray, salt: int) -> None:
         values = (values ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
         values = (values ^ values >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-        found.append((values >> np.uint64(64 - bits)).astype(np.int64))
+        found.append((values >> np.uint64(64 - bits)).astype(np.int32))
         of.append(word)
 
-    if whole and len(chars):
+    if whole:
         power = np.ones(int(sizes.max()), np.uint64)
         power[1:] = odd
         power = np.multiply.accumulate(power)
@@ -40,11 +51,8 @@ def ngram_buckets(words: list[str], low: int, high: int, bits: int, whole: bool
         if n >= low and len(rolled):
             good = left[: len(rolled)] >= n
             put(rolled[good], owner[: len(rolled)][good], n)
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
     bucket, word = np.concatenate(found), np.concatenate(of)
-    order = np.argsort(word, kind="stable")
-    return bucket[order], np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(words)))])
+    return bucket[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
 
 def segment_sums(values: np.ndarray, begins: np.ndarray) -> np.ndarray:

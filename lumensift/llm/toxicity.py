@@ -23,7 +23,7 @@ from lumensift.llm.common import held_out, map_blocks, texts
 from lumensift.llm.subwords import labelled_sample, ngram_buckets, segment_sums
 
 #: Labelled rows and bytes of text that a model is fitted on, at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 9000, 64_000_000
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 24_000_000
 BITS, LOW, HIGH = 17, 3, 5
 SMOOTHING, PENALTY, STEPS = 1.0, 1e-4, 120
 #: Standard errors that a log-count ratio must differ from 0 by; others count as 0.
@@ -46,25 +46,28 @@ def train(sample: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     docs = [np.array([names.setdefault(w, len(names)) for w in words_of(text)], np.int64) for text, _ in sample]
     buckets, begins = ngram_buckets(list(names), LOW, HIGH, BITS)
     sizes = np.diff(begins)
-    columns, values, edges = [], [], [0]
-    for words in docs:
+
+    def counted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of a document, and of how many of its words each is."""
         n = sizes[words]
         at = np.concatenate([[0], np.cumsum(n)])
-        found, count = np.unique(buckets[np.repeat(begins[words] - at[:-1], n) + np.arange(at[-1])], return_counts=True)
-        columns.append(found.astype(np.int32))
-        values.append(count.astype(np.float32))
-        edges.append(edges[-1] + len(found))
-    column, value, edge = np.concatenate(columns), np.concatenate(values), np.array(edges)
-    row = np.repeat(np.arange(len(docs)), np.diff(edge))
-    toxic = labels[row] == 1
-    p = SMOOTHING + np.bincount(column[toxic], minlength=width)
-    q = SMOOTHING + np.bincount(column[~toxic], minlength=width)
+        return np.unique(buckets[np.repeat(begins[words] - at[:-1], n) + np.arange(at[-1])], return_counts=True)
+
+    p, q = np.full(width, SMOOTHING), np.full(width, SMOOTHING)
+    for words, y in zip(docs, labels, strict=True):
+        (p if y else q)[counted(words)[0]] += 1
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     ratio = np.log((p / (n1 + 2 * SMOOTHING)) / (q / (n0 + 2 * SMOOTHING)))
     ratio[np.abs(ratio) < SIGNIFICANT * np.sqrt(1 / p + 1 / q)] = 0  # else the noise of very many words outweighs a long document's few toxic ones
-    use = ratio[column] != 0
-    edge = np.concatenate([[0], np.cumsum(use)])[edge]
-    column, value, row = column[use], value[use], row[use]
+    columns, values, edges = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [0]
+    for words in docs:  # once more, as only what the ratios leave is kept
+        found, count = counted(words)
+        use = ratio[found] != 0
+        columns.append(found[use])
+        values.append(count[use])
+        edges.append(edges[-1] + int(use.sum()))
+    column, value, edge = np.concatenate(columns), np.concatenate(values).astype(np.float32), np.array(edges)
+    row = np.repeat(np.arange(len(docs)), np.diff(edge))
     scaled = value * ratio[column].astype(np.float32)
     weight, speed = np.zeros(width), np.zeros(width)
     bias = drift = 0.0
