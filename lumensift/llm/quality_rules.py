@@ -81,17 +81,18 @@ def measured(docs: DataFrame, carried: Column) -> DataFrame:
     ordered = found.select("*", F.when(F.col("repeats"), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"))
     same = lambda x, k: F.coalesce(F.get("sorted", k)["h"] == x["h"], F.lit(False))
     flagged = ordered.select("*", F.array_sort(F.filter(F.transform("sorted", lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["i"])), lambda p: p.isNotNull())).alias("flagged"))
-    return flagged.select(
-        "carried",
-        n.cast("long").alias("n_words"),
-        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+    counts = (
+        n.alias("n_words"),
+        F.char_length(F.array_join("words", "")).alias("word_chars"),
+        F.col("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.when(F.col("repeats"), _covered(F.col("flagged"), WINDOW)).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
-        F.size(F.filter("words", lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        "n_exclaimed",
+        F.size(F.filter("words", lambda w: w.isin(*STOP_WORDS))).alias("n_stop_words"),
+        F.size("lines").alias("n_lines"),
+        F.col("n_exclaimed"),
     )
+    # A generator of one row: Spark would push a filter on a verdict below plain projections, and compute their arrays anew for every element.
+    return flagged.select("carried", F.inline(F.array(F.struct(*(c.cast("long").alias(name) for c, name in zip(counts, COUNTS, strict=True))))))
 
 
 def failures(rules: tuple[Rule, ...]) -> Column:
@@ -117,8 +118,5 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that pass, with all their columns. Each row carries its verdict; nothing is joined or shuffled.
-
-    A generator drops the others: Spark would push a filter below the projections and compute its columns anew for every element."""
-    row = F.struct(*(docs[c] for c in docs.columns))
-    return _judged(docs, row, rules).select(F.inline(F.when(F.col("kept"), F.array("carried"))))
+    """The rows of docs that pass, with all their columns. Each row carries its verdict; nothing is joined or shuffled."""
+    return _judged(docs, F.struct(*(docs[c] for c in docs.columns)), rules).where("kept").select("carried.*")
