@@ -94,7 +94,7 @@ class PieceModel:
 
     def segment(self, unit: str, key: int = 0, dropout: float = 0.0) -> list[int]:
         """Ids of a unit. A unit's spaces stand for the model's space mark."""
-        ids, limit = self.ids, int(dropout * (1 << 64))
+        ids, limit = self.ids, min(int(dropout * (1 << 64)), _MASK)
         symbols = [" " if c == SPACE else SPACE if c == " " else c for c in unit]  # the mark itself is no piece, so it goes to bytes
         n = len(symbols)
         after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
@@ -154,7 +154,7 @@ class PieceModel:
 
     def _merge(self, units: list[str], sizes: np.ndarray, keys: np.ndarray, width: int, dropout: float) -> np.ndarray:
         """Final symbols of units, a row for each (-1: none, -2: a character without a piece)."""
-        n, limit = len(units), np.uint64(int(dropout * (1 << 64)))
+        n, limit = len(units), np.uint64(min(int(dropout * (1 << 64)), _MASK))
         chars = self.of_char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
         symbols = np.full((n, width + 1), -1, np.int32)
         symbols[np.arange(width + 1)[None, :] < sizes[:, None]] = chars
