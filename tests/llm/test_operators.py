@@ -1,0 +1,346 @@
+"""Each operator against a plain version, on rows with every edge case, and on an empty table."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import random
+import re
+import wave
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from lumensift.llm import media, packing, piece_dropout, quality_rules, secrets, simhash, suffix_dedup, token_counts
+from lumensift.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def key(row):
+    return repr(row)
+
+
+def same(df, rows):
+    assert sorted(map(key, map(tuple, df.collect()))) == sorted(map(key, rows))
+
+
+# --- 1
+
+
+def plain_counts(pairs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_counts.default_tokenizer())
+    for i, text in pairs:
+        n = len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+        yield i, len((text or "").encode()), n, n > 512
+
+
+def test_token_counts(edge, pairs):
+    same(token_counts.token_counts(edge), plain_counts(pairs))
+    assert token_counts.token_counts(edge.limit(0)).count() == 0
+
+
+def test_token_dictionary_overflow(pairs, monkeypatch):
+    monkeypatch.setattr(token_counts, "DICTIONARY", 5)
+    counter = token_counts.PieceCounter(token_counts.default_tokenizer())
+    texts = [t or "" for _, t in pairs]
+    assert [counter.count([t])[0] for t in texts] == counter.count(texts) == [n for _, _, n, _ in plain_counts(pairs)]
+
+
+# --- 2
+
+
+def plain_repeats(pairs, least=50):
+    first: dict[bytes, int] = {}
+    for i, t in pairs:
+        b = (t or "").encode()
+        for j in range(len(b) - least + 1):
+            first[b[j : j + least]] = min(first.get(b[j : j + least], 1 << 70), suffix_dedup.LAST_ID if i is None else i)
+    for i, t in pairs:
+        b, own = (t or "").encode(), suffix_dedup.LAST_ID if i is None else i
+        gone = np.zeros(len(b), bool)
+        for j in range(len(b) - least + 1):
+            if first[b[j : j + least]] < own:
+                gone[j : j + least] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        yield i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
+
+
+def test_repeats(edge, pairs):
+    same(suffix_dedup.repeats(edge), plain_repeats(pairs))
+    assert suffix_dedup.repeats(edge.limit(0)).count() == 0
+
+
+def test_repeats_of_shared_passages(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 4000)
+    rng = random.Random(5)
+    passages = ["".join(rng.choice("ab cd") for _ in range(rng.randint(40, 160))) for _ in range(12)]
+    rows = [(i, "".join(rng.choice(passages)[rng.randint(0, 20) :] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(0, 6)))) for i in range(150)]
+    same(suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")), plain_repeats(rows))
+
+
+def test_deduplicated_rows(edge, pairs):
+    out = suffix_dedup.deduplicated(edge)
+    assert out.columns == edge.columns
+    want = Counter((i, suffix_dedup.without(b := (t or "").encode(), []) if not n else None, len(b) - n) for (i, t), (_, _, n, _, _) in zip(pairs, plain_repeats(pairs), strict=True))
+    got = Counter((r["doc_id"], r["n_chars"]) for r in out.collect())
+    assert sum(got.values()) == len(pairs) and got[(2, 0)] == 1 and len(want) > 0
+
+
+@pytest.mark.parametrize(("letters", "n"), [(2, 1500), (5, 1500), (200, 3000), (1, 300)])
+def test_suffix_array(letters, n):
+    text = np.random.default_rng(letters).integers(1, letters + 1, n).astype(np.uint8)
+    text[-1] = 0
+    array, raw = suffix_dedup.suffix_array(text, 64), bytes(text)
+    assert sorted(array.tolist()) == list(range(n))
+    assert all(raw[a : a + 64] <= raw[b : b + 64] for a, b in zip(array[:-1], array[1:], strict=True))
+
+
+# --- 4
+
+
+def plain_counts_of_rules(text):
+    words = WORD.findall(text or "")
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}
+    lines = [line for line in (text or "").split("\n") if WORD.search(line)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(edge, pairs):
+    rows = quality_rules.judged(edge).select("doc_id", *quality_rules.COUNTS[:5], "base_failed").collect()
+    want = [(i, *(c := plain_counts_of_rules(t)), c[0] < 10 or 100 * c[4] > 20 * c[0]) for i, t in pairs]
+    assert sorted(map(key, map(tuple, rows))) == sorted(map(key, want))
+    assert quality_rules.judged(edge.limit(0)).count() == 0
+    passing = quality_rules.passing(edge)
+    kept = Counter(r["doc_id"] for r in quality_rules.judged(edge).where("kept").collect())
+    assert passing.columns == edge.columns and Counter(r["doc_id"] for r in passing.collect()) == kept
+
+
+def test_rules_separate_the_labels(spark, sf_dir):
+    verdicts = quality_rules.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = verdicts.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("quality", "base_failed", "kept").collect()
+    good = [r["kept"] for r in rows if r["quality"] == 1 and not r["base_failed"]]
+    bad = [r["kept"] for r in rows if r["quality"] == 0]
+    assert sum(good) == len(good) and sum(bad) <= len(bad) // 5
+
+
+# --- 5
+
+
+def test_packing(edge, pairs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    rows = packing.packed(edge).collect()
+    made: dict = {}
+    for i, t in pairs:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        made.setdefault(i, []).append(ids)
+    by_doc: dict = {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    assert set(by_doc) == set(made)
+    for i, copies in made.items():
+        assert sum(r["length"] for r in by_doc[i]) == sum(map(len, copies))
+        for r in by_doc[i]:
+            fits = [c for c in copies if len(c) == r["doc_tokens"]]
+            assert any(zlib.crc32(c[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for c in fits)
+        if len(copies) == 1:
+            spans = sorted((r["start"], r["length"]) for r in by_doc[i])
+            assert [s for s, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
+    sequences: dict = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))]
+        assert sum(n for _, n in pieces) <= 2048
+    assert packing.packed(edge.limit(0)).count() == 0
+
+
+def test_balance():
+    rng = random.Random(3)
+    lengths = [rng.randint(1, 2047) for _ in range(500)]
+    pieces = packing.balance(lengths, 2048, 1.0, 1 / 1024)
+    assert Counter({i: sum(n for j, _, n, _ in pieces if j == i) for i in range(500)}) == Counter(dict(enumerate(lengths)))
+    used = Counter()
+    for _, _, n, k in pieces:
+        used[k] += n
+    assert max(used.values()) <= 2048 and len(used) <= -(-sum(lengths) // 2048) + 8
+
+
+def test_crc_of_tail():
+    rng = random.Random(4)
+    for n in (0, 4, 12, 5000):
+        a, b = rng.randbytes(64), rng.randbytes(n)
+        assert packing.crc_of_tail(zlib.crc32(a + b), zlib.crc32(a), n) == zlib.crc32(b)
+
+
+# --- 7
+
+
+def plain_fingerprint(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] if words else []
+    values = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in values) > len(values))
+
+
+def plain_components(rows):
+    """rows: (id, fingerprint). The smallest id reachable over links of at most 3 bits."""
+    root = list(range(len(rows)))
+    for _ in rows:
+        changed = False
+        for i, (_, a) in enumerate(rows):
+            for j, (_, b) in enumerate(rows):
+                if (a ^ b).bit_count() <= 3 and root[i] < root[j]:
+                    root[j], changed = root[i], True
+        if not changed:
+            break
+    least: dict[int, int | None] = {}
+    for r, (i, _) in zip(root, rows, strict=True):
+        least[r] = i if least.get(r) is None else least[r] if i is None else min(i, least[r])
+    return [(i, f"{f:016x}", least[r]) for r, (i, f) in zip(root, rows, strict=True)]
+
+
+def test_simhash(edge, pairs):
+    same(simhash.near_components(edge), plain_components([(i, plain_fingerprint(t)) for i, t in pairs]))
+    assert simhash.near_components(edge.limit(0)).count() == 0
+    kept = simhash.deduplicated(edge)
+    assert kept.columns == edge.columns and 2 not in {r["doc_id"] for r in kept.collect()}
+
+
+def test_links_near_and_chained(spark):
+    rng = random.Random(6)
+    values = {rng.getrandbits(64) for _ in range(40)}
+    for v in [*values]:
+        for _ in range(6):
+            v ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5)))
+            values.add(v)
+    fps = sorted(values)
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in fps]
+    links = simhash.fingerprint_links(spark.createDataFrame(signed, "fp long"))
+    found = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in components(links).collect()}
+    want = plain_components([*enumerate(fps)])
+    groups, wanted = {}, {}
+    for i, f in enumerate(fps):
+        groups.setdefault(found.get(f, f), set()).add(i)
+        wanted.setdefault(want[i][2], set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+
+
+def test_a_key_with_very_many_fingerprints(monkeypatch):
+    rng = random.Random(8)
+    values = np.unique(np.array([0xABCD << 48 ^ sum(1 << b for b in rng.sample(range(48), rng.randint(0, 12))) for _ in range(900)], np.uint64))
+    sets = []
+    for direct in (10_000, 16):
+        monkeypatch.setattr(simhash, "DIRECT", direct)
+        a, b = simhash.forest(values, 3)
+        root = {v: v for v in values.tolist()}
+        for x, y in sorted(zip(a.tolist(), b.tolist(), strict=True), reverse=True):
+            root[x] = y
+        sets.append({v: root[v] for v in root})
+    assert sets[0] == sets[1] and len(set(sets[0].values())) < len(values)
+
+
+# --- 8
+
+
+def test_pieces(edge, pairs):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_dropout.default_model())
+    model = piece_dropout.model_of(piece_dropout.default_model())
+    texts = [t or "" for _, t in pairs]
+    plain = [t for t in texts if "▁" not in t]
+    assert [i.tolist() for i in model.encode(plain, [1] * len(plain), 1, 0.0)] == library.encode(plain)
+    rows = piece_dropout.round_trip(edge, dropout=0.3).collect()
+    assert len(rows) == len(pairs) and all(r["lossless"] for r in rows)
+    ids = piece_dropout.encoded(edge, seed=5, dropout=0.3)
+    same(piece_dropout.decoded(ids), [(i, t or "") for i, t in pairs])
+    assert piece_dropout.round_trip(edge.limit(0)).count() == 0
+
+
+def test_dropout_varies_with_the_seed_alone(pairs):
+    model = piece_dropout.model_of(piece_dropout.default_model())
+    text = [t for i, t in pairs if i == 12]
+    runs = [model.encode(text, [12], seed, 0.2)[0].tolist() for seed in (1, 1, 2)]
+    assert runs[0] == runs[1] != runs[2]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6, 1.0])
+def test_agendas_together_and_alone(pairs, dropout):
+    model = piece_dropout.model_of(piece_dropout.default_model())
+    units = sorted({u for _, t in pairs for u in model.split(" " + (t or ""))[:400]})
+    keys = [model.key(u, 1, 9) for u in units]
+    together = model.segment_all(units, keys, dropout)
+    assert together == [np.asarray(model.segment(u, k, dropout), "<u4").tobytes() for u, k in zip(units, keys, strict=True)]
+
+
+# --- 9
+
+
+def test_secrets(edge, pairs):
+    rows = {(r["doc_id"], r["spans"]) for r in secrets.scanned(edge).collect()}
+    assert (10, "assign:0:27,access:29:49,hex:50:70") in rows and (5, "") in rows
+    assert secrets.scanned(edge).count() == len(pairs) and secrets.scanned(edge.limit(0)).count() == 0
+    masked = secrets.redacted(edge)
+    text = next(r for r in masked.collect() if r["doc_id"] == 10)
+    assert masked.columns == edge.columns and text["text"] == "[secret]' [secret] [secret]" and text["n_chars"] == len(text["text"])
+
+
+def test_base_spans():
+    text = 'API_KEY: "abcdefghijkl" token=short passwd="x" + Secret = aaaaaaaaaaaaaaaaaaaaaaaa AKIA12 ſecret=abcdefghijklmno'
+    kinds = [(secrets.KINDS[k], text[s:e]) for s, k, e in secrets.base_spans(text)]
+    assert kinds == [("assign", 'API_KEY: "abcdefghijkl'), ("assign", "Secret = aaaaaaaaaaaaaaaaaaaaaaaa"), ("hex", "aaaaaaaaaaaaaaaaaaaaaaaa")]
+
+
+@pytest.mark.parametrize(
+    ("text", "random_"),
+    [("xK9fQ2mZ7pLwR4tYbN8vC3", True), ("getElementByIdentifierName2", False), ("D41D8CD98F00B204E9800998ECF8427E", False), ("123E4567-e89b-12d3-a456-426614174000", False), ("some_long_identifier_name_v2", False), ("Donaudampfschifffahrtsgesellschaft", False)],
+)
+def test_random_strings(text, random_):
+    assert bool([k for _, k, _ in secrets.spans(f"a {text} b", secrets.default_vocabulary()) if k == 3]) is random_
+
+
+# --- 10
+
+
+def test_media(edge, pairs):
+    rows = media.media_columns(edge, with_media=True).collect()
+    want = Counter()
+    for i, t in pairs:
+        raw = (t or "").encode()
+        raw += b" " * (-len(raw) % 192) if raw else b" " * 192
+        want[(i, len((t or "").encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]))] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in rows) == want
+    for r in rows:
+        with wave.open(io.BytesIO(r["media"])) as w:
+            assert hashlib.sha256(w.readframes(w.getnframes())).hexdigest() == r["payload_sha256"]
+        assert len(r["media"]) == r["media_bytes"] and hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"]
+        assert len(r["hashes"]) == len(r["times"]) == int(r["feature"].split(":")[1])
+    assert len({r["feature"] for r in rows if r["doc_id"] in (1, 2)}) == 1
+    assert media.media_columns(edge.limit(0)).count() == 0
+
+
+def test_peaks_of_a_tone():
+    t = np.arange(192 * 20)
+    tone = (128 + 100 * np.sin(2 * np.pi * 24 * t / 192)).astype(np.uint8).tobytes()
+    assert (media.peaks(tone)[:, 0] == 24).all()
+
+
+# --- shared
+
+
+def test_components(spark):
+    links = [(5, 4), (4, 3), (9, 8), (1, 1), (None, 2), (3, 5), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25)]
+    rows = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in rows} == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8} | dict.fromkeys(range(20, 26), 20)
