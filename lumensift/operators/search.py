@@ -46,17 +46,25 @@ def nearest(index: SearchIndex, words: DataFrame, most: int, limit: int) -> Data
     return seen.withColumn("rank", rank).where(F.col("rank") <= most).select("word", "term", "rank")
 
 
+def variants(words: DataFrame, lang: str) -> DataFrame:
+    """(word, kind, stem) of words(word): of the word itself (kind stem), and of what the other keyboard layouts give (ru, en) unless it is a stop word."""
+    word = F.col("word")
+    kinds = F.array(*(F.struct(F.lit(n).alias("kind"), v.alias("text")) for n, v in (("stem", word), ("ru", X.layout_ru(word)), ("en", X.layout_en(word)))))
+    rows = words.select("word", F.inline(kinds)).where("text is not null")
+    return rows.where((F.col("kind") == "stem") | ~X.is_stop_word(F.col("text"))).select("word", "kind", X.stem(F.col("text"), lang).alias("stem"))
+
+
 def _stems(spark: SparkSession, index: SearchIndex, words: list[str], lang: str) -> dict[str, Row]:
     """For each lower-case word: its stem, those of its layout variants, and whether the index has them."""
     if not words:
         return {}
     rows = spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string")
-    ru, en = X.layout_ru(F.col("word")), X.layout_en(F.col("word"))
-    kinds = rows.select("word", X.stem(F.col("word"), lang).alias("stem"), *(F.when(~X.is_stop_word(v), X.stem(v, lang)).alias(n) for n, v in (("ru", ru), ("en", en))))
-    found = kinds.collect()
-    wanted = {s for r in found for s in (r["stem"], r["ru"], r["en"]) if s}
-    known = {r["term"] for r in index.terms.where(F.col("term").isin(*wanted)).select("term").collect()} if wanted else set()
-    return {r["word"]: Row(stem=r["stem"], exact=r["stem"] in known, layout=next((s for s in (r["ru"], r["en"]) if s and s in known), None)) for r in found}
+    found: dict[str, dict[str, str]] = {w: {} for w in words}
+    for r in variants(rows, lang).collect():
+        found[r["word"]][r["kind"]] = r["stem"]
+    wanted = {s for kinds in found.values() for s in kinds.values()}
+    known = {r["term"] for r in index.terms.where(F.col("term").isin(*wanted)).select("term").collect()}
+    return {w: Row(stem=k["stem"], exact=k["stem"] in known, layout=next((k[n] for n in ("ru", "en") if k.get(n) in known), None)) for w, k in found.items()}
 
 
 def resolve(index: SearchIndex, parsed: ParsedQuery, lang: str = "auto", fuzzy: bool | None = None) -> Resolved:
@@ -197,12 +205,10 @@ def resolve_batch(index: SearchIndex, queries: DataFrame, lang: str = "auto") ->
     columns = parsed_columns(F.col("query"))
     asked = queries.select("query_id", F.posexplode(F.concat(columns["required"], columns["words"])).alias("place", "raw")).withColumn("word", F.lower("raw"))
     asked = asked.where(~X.is_stop_word(F.col("word")))
-    distinct = asked.select("word").distinct()
-    ru, en = X.layout_ru(F.col("word")), X.layout_en(F.col("word"))
-    stems = distinct.select("word", X.stem(F.col("word"), lang).alias("stem"), *(F.when(~X.is_stop_word(v), X.stem(v, lang)).alias(n) for n, v in (("ru", ru), ("en", en))))
-    known = index.terms.select("term")
-    for name in ("stem", "ru", "en"):
-        stems = stems.join(known.select(F.col("term").alias(f"has_{name}")), F.col(name) == F.col(f"has_{name}"), "left")
+    known = index.terms.select(F.col("term").alias("stem"), F.lit(True).alias("has"))
+    kinds = variants(asked.select("word").distinct(), lang).join(known, "stem", "left")
+    at = lambda kind, what: F.max(F.when(F.col("kind") == kind, what))
+    stems = kinds.groupBy("word").agg(at("stem", F.col("stem")).alias("stem"), *(at(k, F.when(F.col("has"), F.col("stem"))).alias(f"has_{k}") for k in ("stem", "ru", "en")))
     near = nearest(index, stems.where("has_stem is null").select(F.col("stem").alias("word")), NEIGHBOURS, index.config.levenshtein_limit)
     sure = stems.select("word", F.coalesce("has_stem", "has_ru", "has_en").alias("term"), F.lit(0).alias("rank")).where("term is not null")
     spelt = stems.where("has_stem is null").select("word", "stem").join(near.withColumnRenamed("word", "stem"), "stem").select("word", "term", "rank")
