@@ -156,20 +156,3 @@ class SearchService:
         if not result.query:
             raise ValueError("a query is needed")
         return rag.ask(result, generate)
-
-
-def register_functions(spark: SparkSession) -> None:
-    """SQL functions lumen_stem, lumen_stem_en, lumen_stem_ru, lumen_words, lumen_layout_ru and lumen_layout_en.
-
-    SQL bodies need no Python; lumen_words leaves NFKC to the caller."""
-    from pyspark.sql import functions as F
-
-    from lumensift.functions import text as X
-
-    word = F.col("word")
-    bodies = {"stem": X.stem(word), "stem_en": X.stem_en(word), "stem_ru": X.stem_ru(word), "layout_ru": X.layout_ru(word), "layout_en": X.layout_en(word)}
-    for name, body in bodies.items():
-        sql = body._jc.expr().sql() if hasattr(body._jc, "expr") else None
-        if sql is None:
-            continue
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION lumen_{name}(word STRING) RETURNS STRING RETURN {sql}")
