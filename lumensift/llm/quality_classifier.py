@@ -23,7 +23,7 @@ from lumensift.llm.common import held_out, map_blocks, texts
 from lumensift.llm.subwords import labelled_sample, ngram_buckets, segment_sums
 
 #: Labelled rows and bytes of text that a model is fitted on, at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 48_000_000
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16_000_000
 BITS, DIMENSION, LOW, HIGH = 17, 8, 2, 4
 EPOCHS, BATCH, RATE = 6, 32, 2.0
 DICTIONARY, LONGEST = 600_000, 64
