@@ -25,7 +25,8 @@ from lumensift.llm.subwords import labelled_sample, ngram_buckets, segment_sums
 #: Labelled rows and bytes of text that a model is fitted on, at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16_000_000
 BITS, DIMENSION, LOW, HIGH = 17, 8, 2, 4
-EPOCHS, BATCH, RATE = 6, 32, 2.0
+#: Steps of training, at least; over a large sample, so many passes at least.
+STEPS, EPOCHS, BATCH, RATE = 600, 6, 32, 2.0
 DICTIONARY, LONGEST = 600_000, 64
 AGAIN = "\x01again"
 
@@ -59,8 +60,10 @@ def train(sample: list[tuple[str, int]], seed: int = 0) -> tuple[np.ndarray, flo
     labels = np.array([y for _, y in sample])
     buckets, begins = features(list(names))
     sizes = np.diff(begins)
-    steps, step = EPOCHS * -(-len(docs) // BATCH), 0
-    for _ in range(EPOCHS):
+    a_pass = -(-len(docs) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // a_pass))
+    steps, step = epochs * a_pass, 0
+    for _ in range(epochs):
         order = rng.permutation(len(docs))
         for a in range(0, len(order), BATCH):
             chosen = order[a : a + BATCH]
