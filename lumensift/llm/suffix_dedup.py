@@ -36,6 +36,8 @@ from lumensift.llm.common import blocks, partitions
 
 #: Bytes of an anchor; input bytes to a bucket; least and most bits of a bucket's number; bytes of a suffix array, unless one anchor has more.
 K, BUCKET_BYTES, BITS, ARRAY_BYTES = 24, 8_000_000, (4, 18), 2_000_000
+#: Bits of a position in a stretch that anchors are sought in; longer blocks are cut.
+POSITION = 24
 #: Characters handled together while anchors are sought.
 BLOCK = 3_000_000
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -83,8 +85,13 @@ def runs(data: np.ndarray, bounds: np.ndarray, least: int, k: int = K) -> tuple[
     np.add.at(edge, bounds[1:], -1)
     valid = np.append(np.cumsum(edge[:n]) == 0, False)
     h = hashes(data, k)
-    low = np.uint64((1 << 24) - 1)
-    anchor = (least_ahead(h & ~low | np.arange(n, dtype=np.uint64), least - k + 1) & low).astype(np.int64)
+    low = np.uint64((1 << POSITION) - 1)
+    anchor = np.empty(n, np.int64)
+    step = (1 << POSITION) - least + 1
+    for a in range(0, n, step):  # stretches overlap, so that each window lies in one
+        part = h[a : a + step + least - 1]
+        found = least_ahead(part & ~low | np.arange(len(part), dtype=np.uint64), least - k + 1) & low
+        anchor[a : a + step] = found[:step].astype(np.int64) + a
     begins = valid[:n].copy()
     begins[1:] &= ~valid[: n - 1] | (anchor[1:] != anchor[:-1])
     ends = valid[:n].copy()

@@ -85,6 +85,23 @@ def test_repeats_of_shared_passages(spark, monkeypatch):
     same(suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")), plain_repeats(rows))
 
 
+def test_anchors_beyond_the_width_of_a_position(monkeypatch):
+    rng = np.random.default_rng(7)
+    data = rng.integers(97, 101, 4000).astype(np.uint8)
+    bounds = np.array([0, 700, 700, 3990, 4000])
+    want = suffix_dedup.runs(data, bounds, 50)
+    monkeypatch.setattr(suffix_dedup, "POSITION", 7)
+    assert all((x == y).all() for x, y in zip(suffix_dedup.runs(data, bounds, 50), want, strict=True))
+
+
+def test_repeats_far_into_a_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "POSITION", 8)
+    rng = random.Random(9)
+    passage = "".join(rng.choice("ab cd") for _ in range(200))
+    rows = [(i, "".join(rng.choice("wxyz") for _ in range(2000 + 37 * i)) + passage) for i in range(5)]
+    same(suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")), plain_repeats(rows))
+
+
 def test_deduplicated_rows(edge, pairs):
     out = suffix_dedup.deduplicated(edge)
     assert out.columns == edge.columns
