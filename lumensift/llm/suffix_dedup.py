@@ -384,7 +384,9 @@ def _marked(docs: DataFrame, least: int) -> DataFrame:
 
     first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     copies = digests.join(first, "digest").where("id > first").groupBy("id").agg(F.collect_set("digest").alias("digests"))
-    found = dealt(base.join(copies, "id", "left_anti").mapInArrow(seek, "bucket int, blob binary")).mapInArrow(shared_anchors, "id long, anchor long")
+    copied = F.when(F.col("digests").isNull(), False).otherwise(F.array_contains("digests", F.sha2(F.col("text").cast("binary"), 256)))
+    unique = base.join(copies, "id", "left").where(~copied)  # the other texts of a copy's id stay
+    found = dealt(unique.mapInArrow(seek, "bucket int, blob binary")).mapInArrow(shared_anchors, "id long, anchor long")
     shared = base.join(found.groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "id")
     spans = dealt(shared.mapInArrow(cut, "bucket int, blob binary")).mapInArrow(lambda batches: equal_windows(batches, least), "id long, check long, span long")
     marks = spans.groupBy("id").agg(F.collect_list(F.struct("check", "span")).alias("marks"))

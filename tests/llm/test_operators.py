@@ -85,6 +85,14 @@ def test_repeats_of_shared_passages(spark, monkeypatch):
     same(suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")), plain_repeats(rows))
 
 
+def test_repeats_of_ids_with_copies(spark):
+    """A null id, and an id with two texts, of which one is a copy and the other shares passages with smaller and larger ids."""
+    rng = random.Random(11)
+    copy, one, two, three, four = ("".join(rng.choice("ab cdefg") for _ in range(120)) for _ in range(5))
+    rows = [(1, copy), (2, one + "x" * 9), (5, copy), (5, "yy" + one + "zz" + two), (7, two + "w"), (None, copy), (None, three + two), (None, "v" + one), (8, three + "u"), (9, four), (9, four + copy)]
+    same(suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), plain_repeats(rows))
+
+
 def test_anchors_beyond_the_width_of_a_position(monkeypatch):
     rng = np.random.default_rng(7)
     data = rng.integers(97, 101, 4000).astype(np.uint8)
