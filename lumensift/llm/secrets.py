@@ -32,7 +32,9 @@ KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[-_/]?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*")
+#: Words in camel case, with a short number behind. An identifier joins such parts, or is one of several words; a single word is left to the ratio.
+_PART = r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[A-Z][a-z]{2,}|(?<=[a-z])[A-Z]{2,})*[0-9]{0,4}"
+IDENTIFIER = re.compile(rf"(?:{_PART}|[0-9]{{1,4}})(?:[-_/](?:{_PART}|[0-9]{{1,4}}))+|(?:[A-Z]?[a-z]{{2,}}|[A-Z]{{2,}})(?:[A-Z][a-z]{{2,}}|(?<=[a-z])[A-Z]{{2,}})+[0-9]{{0,4}}")
 #: Characters per token below which a candidate counts as random.
 RATIO = 2.0
 
@@ -65,9 +67,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def looks_random(candidate: str, path: str, ratio: float = RATIO) -> bool:
-    digits = sum(c.isdigit() for c in candidate)
-    if digits < 2 or digits == len(candidate) or not any(c.isupper() for c in candidate) or not any(c.islower() for c in candidate):
-        return False
     if len(candidate) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-fA-F]+", candidate) or UUID.fullmatch(candidate) or IDENTIFIER.fullmatch(candidate):
         return False
     return len(candidate) / len(encoding(path).encode_ordinary(candidate)) < ratio

@@ -336,6 +336,13 @@ def test_random_strings(text, random_):
     assert bool([k for _, k, _ in secrets.spans(f"a {text} b", secrets.default_vocabulary()) if k == 3]) is random_
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_strings_of_few_kinds_of_characters(letters):
+    rng = random.Random(13)
+    drawn = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(300)]
+    assert sum(secrets.looks_random(x, secrets.default_vocabulary()) for x in drawn) >= 280
+
+
 # --- 10
 
 
