@@ -70,7 +70,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     """(text, label) of at most `rows` labelled documents, and no more than `most_bytes` of text, whose crc32(doc_id) mod 5 is not 0.
 
     A third of the rows at least, if there are so many, has the rarer label. Which rows: the smallest hashes of doc_id. Texts
-    are taken whole. doc_id only chooses rows; it is no feature."""
+    are taken whole; one that does not fit is left out. Each label has room for a third of the bytes, or for all or the shortest of its
+    texts, if there are less or it is longer. doc_id only chooses rows; it is no feature."""
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     at = F.xxhash64("doc_id", F.lit(7))
     chosen = [r for y in (0, 1) for r in wanted.where(F.col("label") == y).orderBy(at).limit(rows).select("doc_id", "label", at.alias("at")).collect()]
@@ -81,10 +82,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     if not picked:
         return
     spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i in picked], "doc_id long")  # at most `rows`
-    used = 0
-    for row in texts(docs).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(11))).toLocalIterator():
-        used += len(row["text"].encode("utf-8", "surrogatepass"))
-        if used > most_bytes:
-            return
-        yield row["text"], picked[row["doc_id"]]
+    ids = spark.createDataFrame([*picked.items()], "doc_id long, label int")  # at most `rows`
+    found = texts(docs).join(F.broadcast(ids), "doc_id")
+    size = F.octet_length("text")
+    sizes = {r["label"]: r for r in found.groupBy("label").agg(F.sum(size).alias("all"), F.min(F.when(size > 0, size)).alias("least")).collect()}
+    room = {y: max(min(most_bytes // 3, r["all"]), r["least"] or 0) for y, r in sizes.items() if (r["least"] or 0) <= most_bytes}
+    used = {0: 0, 1: 0}
+    for row in found.orderBy(F.xxhash64("doc_id", F.lit(11))).toLocalIterator():
+        y = picked[row["doc_id"]]
+        n = len(row["text"].encode("utf-8", "surrogatepass"))
+        if used[y] + n + max(used[1 - y], room.get(1 - y, 0)) <= most_bytes:
+            used[y] += n
+            yield row["text"], y

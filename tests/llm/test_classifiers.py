@@ -43,6 +43,18 @@ def test_sample_is_bounded_and_not_held_out(spark, edge):
     assert not list(labelled_sample(edge, labels, "toxic", 4, 0)) or all(t == "" for t, _ in labelled_sample(edge, labels, "toxic", 4, 0))
 
 
+def test_sample_skips_texts_that_do_not_fit(spark):
+    """One too long text, wherever it comes, costs only itself, and both labels get rows."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, int(k % 4 == 0)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    for long in ids[:12]:
+        docs = spark.createDataFrame([(i, "x" * (5000 if i == long else 10)) for i in ids], "doc_id long, text string")
+        assert sorted(len(t) for t, _ in labelled_sample(docs, labels, "toxic", 100, 1000)) == [10] * (len(ids) - 1)
+    docs = spark.createDataFrame([(i, "x" * (90 if k % 4 == 0 else 300)) for k, i in enumerate(ids)], "doc_id long, text string")
+    sample = list(labelled_sample(docs, labels, "toxic", 100, 1000))
+    assert {y for _, y in sample} == {0, 1} and sum(len(t) for t, _ in sample) <= 1000
+
+
 def test_ngrams():
     words = ["ab", "abc", "", "xabc"]
     buckets, begins = ngram_buckets(words, 2, 3, 20, whole=True)
