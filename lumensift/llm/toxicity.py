@@ -27,7 +27,7 @@ SAMPLE_ROWS, SAMPLE_BYTES = 6000, 24_000_000
 BITS, LOW, HIGH = 17, 3, 5
 SMOOTHING, PENALTY, STEPS = 1.0, 1e-4, 120
 #: Standard errors that a log-count ratio must differ from 0 by; others count as 0.
-SIGNIFICANT = 4.0
+SIGNIFICANT = 1.5
 DICTIONARY, LONGEST = 800_000, 64
 WORDS = re.compile(r"[^\W_]+").findall
 

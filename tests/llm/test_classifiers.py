@@ -55,6 +55,19 @@ def test_sample_skips_texts_that_do_not_fit(spark):
     assert {y for _, y in sample} == {0, 1} and sum(len(t) for t, _ in sample) <= 1000
 
 
+@pytest.mark.parametrize(("n", "toxic", "rare"), [(68, 10, 4), (900, 300, 6)])
+def test_rare_abuse_words(n, toxic, rare):
+    """Few labels, and a word in few toxic documents and in no clean one, still make a model."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
+    sample = [(" ".join(rng.choice(words, 30)) + (" zyxwvq" if k < rare else ""), int(k < toxic)) for k in range(n)]
+    weights, bias = toxicity.train(sample)
+    scorer = toxicity.Scorer(weights.tobytes(), bias)
+    plain = " ".join(rng.choice(words, 30))
+    with_, without = scorer.score([plain + " zyxwvq", plain])
+    assert with_ > without + 0.05
+
+
 def test_ngrams():
     words = ["ab", "abc", "", "xabc"]
     buckets, begins = ngram_buckets(words, 2, 3, 20, whole=True)
