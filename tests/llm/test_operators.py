@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -286,7 +287,8 @@ def test_pieces(edge, pairs):
     model = piece_dropout.model_of(piece_dropout.default_model())
     texts = [t or "" for _, t in pairs]
     plain = [t for t in texts if "▁" not in t]
-    assert [i.tolist() for i in model.encode(plain, [1] * len(plain), 1, 0.0)] == library.encode(plain)
+    ids, counts = model.encode(pa.array(plain, pa.string()), np.ones(len(plain), np.int64), 1, 0.0)
+    assert [i.tolist() for i in np.split(ids, np.cumsum(counts)[:-1])] == library.encode(plain)
     rows = piece_dropout.round_trip(edge, dropout=0.3).collect()
     assert len(rows) == len(pairs) and all(r["lossless"] for r in rows)
     ids = piece_dropout.encoded(edge, seed=5, dropout=0.3)
@@ -294,20 +296,44 @@ def test_pieces(edge, pairs):
     assert piece_dropout.round_trip(edge.limit(0)).count() == 0
 
 
-def test_dropout_varies_with_the_seed_alone(pairs):
+def test_dropout_varies_with_the_seed_and_document_alone(pairs):
     model = piece_dropout.model_of(piece_dropout.default_model())
-    text = [t for i, t in pairs if i == 12]
-    runs = [model.encode(text, [12], seed, 0.2)[0].tolist() for seed in (1, 1, 2)]
-    assert runs[0] == runs[1] != runs[2]
+    text = pa.array([t for i, t in pairs if i == 12], pa.string())
+    runs = [model.encode(text, np.array([doc_id]), seed, 0.2)[0].tolist() for seed, doc_id in ((1, 12), (1, 12), (2, 12), (1, 13))]
+    assert runs[0] == runs[1] != runs[2] != runs[3] != runs[0]
 
 
-@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6, 1.0])
-def test_agendas_together_and_alone(pairs, dropout):
+def plain_pieces(model, text, doc_id, seed, dropout):
+    units = model.split(" " + text) if text else []
+    return [x for place, u in enumerate(units) for x in model.segment(u, piece_dropout.key_of(seed, doc_id, place), dropout)]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_piece_dropout_draws(pairs, dropout):
+    """The nodes that occurrences share against an agenda for each occurrence."""
+    model = piece_dropout.model_of(piece_dropout.default_model())
+    strings = [(t or "")[:3000] for _, t in pairs] + ["  two  spaces ", " lead", "trail ", "\n \n", "x" * 300, ""]
+    ids, counts = model.encode(pa.array(strings, pa.string()), np.arange(len(strings)) - 2, 9, dropout)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert [p.tolist() for p in parts] == [plain_pieces(model, t, i - 2, 9, dropout) for i, t in enumerate(strings)]
+    assert model.decode(ids, counts) == [t.encode() for t in strings]
+
+
+def test_piece_dropout_varies_with_occurrences():
     model = piece_dropout.model_of(piece_dropout.default_model())
-    units = sorted({u for _, t in pairs for u in model.split(" " + (t or ""))[:400]})
-    keys = [model.key(u, 1, 9) for u in units]
-    together = model.segment_all(units, keys, dropout)
-    assert together == [np.asarray(model.segment(u, k, dropout), "<u4").tobytes() for u, k in zip(units, keys, strict=True)]
+    word = "international"
+
+    def different(n):
+        ids, counts = model.encode(pa.array([" ".join([word] * n)]), np.array([1]), 1, 0.1)
+        marks = np.flatnonzero([model.raw.take(np.array([x]))[0].tobytes().startswith(b" ") for x in ids.tolist()])
+        found = {tuple(part.tolist()) for part in np.split(ids, marks)}
+        return len(found), counts[0]
+
+    few, many = different(20)[0], different(20_000)[0]
+    assert 1 < few < many and many > 40
+    single = len(model.segment(" " + word))
+    kept = sum(len(model.segment(" " + word, piece_dropout.key_of(1, 1, p), 0.1)) == single for p in range(2000)) / 2000
+    assert 0.2 < kept < 0.9
 
 
 # --- 9
