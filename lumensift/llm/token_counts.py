@@ -3,7 +3,7 @@
 Count pieces once per distinct pre-token, join to per-document pre-token frequencies, and sum.
 
 A document is reduced to the frequencies of its pre-tokens. A worker keeps a dictionary from pre-token to number of
-pieces; only pre-tokens that are not in it go to the tokenizer, all those of a block in one call. The join of the two is
+pieces; only pre-tokens that are not in it are merged by the tokenizer's rules, all those of a block together. The join of the two is
 a dictionary look-up in the task, so nothing is shuffled: a join of (document, pre-token) rows across tasks would move
 more bytes than the texts have, and gain only that a pre-token is counted once in the cluster instead of once in a worker.
 
@@ -18,11 +18,13 @@ import re
 from collections import Counter
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from lumensift.llm.common import map_blocks, texts
+from lumensift.llm.merging import byte_letters, merged, table_of
 
 #: Entries of a worker's dictionary, and the longest pre-token that is kept in it.
 DICTIONARY = 1_000_000
@@ -53,6 +55,8 @@ class PieceCounter:
         self.plain = re.compile(PLAIN).fullmatch
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))).split if special else lambda text: [text]
+        vocabulary, self.table = table_of(self.tokenizer)
+        self.letters = np.array([vocabulary[c] for c in byte_letters()], np.int32)
         self.pieces: dict[str, int] = {}
 
     def pretokens(self, part: str) -> list[str]:
@@ -62,7 +66,10 @@ class PieceCounter:
 
     def learn(self, missing: list[str]) -> dict[str, int]:
         """Piece counts of pre-tokens that the dictionary lacks. Those too long to be kept are in the result alone."""
-        found = dict(zip(missing, (len(e.ids) for e in self.tokenizer.encode_batch(missing, add_special_tokens=False)), strict=True))
+        raw = [w.encode("utf-8", "surrogatepass") for w in missing]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        _, counts, _ = merged(self.letters[np.frombuffer(b"".join(raw), np.uint8)], sizes, self.table)
+        found = dict(zip(missing, counts.tolist(), strict=True))
         if len(self.pieces) + len(found) > DICTIONARY:
             self.pieces.clear()
         self.pieces.update((w, n) for w, n in found.items() if len(w) <= LONGEST)
