@@ -83,14 +83,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
         return
     spark = docs.sparkSession
     ids = spark.createDataFrame([*picked.items()], "doc_id long, label int")  # at most `rows`
-    found = texts(docs).join(F.broadcast(ids), "doc_id")
-    size = F.octet_length("text")
-    sizes = {r["label"]: r for r in found.groupBy("label").agg(F.sum(size).alias("all"), F.min(F.when(size > 0, size)).alias("least")).collect()}
-    room = {y: max(min(most_bytes // 3, r["all"]), r["least"] or 0) for y, r in sizes.items() if (r["least"] or 0) <= most_bytes}
-    used = {0: 0, 1: 0}
-    for row in found.orderBy(F.xxhash64("doc_id", F.lit(11))).toLocalIterator():
-        y = picked[row["doc_id"]]
-        n = len(row["text"].encode("utf-8", "surrogatepass"))
+    found = texts(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("which"))
+    # of a doc_id with several texts one is chosen, so `rows` bounds what comes to the driver; first sizes, then the texts that fit
+    sizes = found.groupBy("doc_id").agg(F.min(F.struct("which", "size")).alias("text"), F.xxhash64("doc_id", F.lit(11)).alias("at")).collect()
+    sized = sorted((r["at"], r["doc_id"], r["text"]["which"], r["text"]["size"]) for r in sizes)
+    of_label = {y: [n for _, i, _, n in sized if picked[i] == y] for y in (0, 1)}
+    least = {y: min((n for n in found_ if n), default=0) for y, found_ in of_label.items()}
+    room = {y: max(min(most_bytes // 3, sum(n)), least[y]) for y, n in of_label.items() if least[y] <= most_bytes}
+    used, taken = {0: 0, 1: 0}, {}
+    for _, i, which, n in sized:
+        y = picked[i]
         if used[y] + n + max(used[1 - y], room.get(1 - y, 0)) <= most_bytes:
             used[y] += n
-            yield row["text"], y
+            taken[i] = which
+    if not taken:
+        return
+    wanted = F.broadcast(spark.createDataFrame([*taken.items()], "doc_id long, which long"))
+    texts_ = {r["doc_id"]: r["text"] for r in found.join(wanted, ["doc_id", "which"]).select("doc_id", "text").dropDuplicates(["doc_id"]).collect()}
+    for _, i, _, _ in sized:
+        if i in texts_:
+            yield texts_[i], picked[i]
