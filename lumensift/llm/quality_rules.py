@@ -16,6 +16,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumensift.llm.common import quoted
+
 #: Words are runs of anything but these white-space characters; symbols.
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -119,4 +121,4 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that pass, with all their columns. Each row carries its verdict; nothing is joined or shuffled."""
-    return _judged(docs, F.struct(*(docs[c] for c in docs.columns)), rules).where("kept").select("carried.*")
+    return _judged(docs, F.struct(*(docs[quoted(c)] for c in docs.columns)), rules).where("kept").select("carried.*")

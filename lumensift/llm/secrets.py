@@ -13,13 +13,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import map_blocks, texts
+from lumensift.llm.common import map_blocks, quoted, texts
 
 #: The kinds in their order, and the patterns of the first three with the least length.
 KINDS = ("assign", "access", "hex", "random")
@@ -108,13 +109,12 @@ def redacted(docs: DataFrame, vocabulary: str | None = None, ratio: float = RATI
             at = max(at, e)
         return "".join([*out, text[at:]]) if out else text
 
-    i = docs.columns.index("text")
-    schema = docs.schema
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = pa.array([None if t is None else clean(t) for t in batch.column(i).to_pylist()], batch.schema.field(i).type)
-            yield batch.set_column(i, batch.schema.field(i), column)
+            column = pa.array([None if t is None else clean(t) for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), column], ["more", "text"])
 
-    out = docs.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    rows = docs.select(F.struct(*(docs[quoted(c)] for c in docs.columns if c != "text")).alias("more"), docs["text"].cast("string").alias("text"))
+    out = rows.mapInArrow(run, rows.schema)
+    recounted = F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return out.select(*(F.col("text") if c == "text" else recounted.alias(c) if c == "n_chars" else F.col("more")[c].alias(c) for c in docs.columns))
