@@ -17,7 +17,12 @@ windows have equal anchors, and about every (50 - K) / 2 bytes there is one.
 
 Hashes only choose what meets; whether strings are equal is read from the suffix array, whose text they are.
 
-Null text: empty, nothing removed. Null doc_id: larger than all others. Rows that repeat a doc_id do not affect each other; each is judged against smaller ids.
+Keys with very many rows: of the rows of a block that have an anchor, or a string, only those with the extreme ids go to its bucket, as the
+others follow; so a line that all documents have sends a row for a block, not for a document. Copies are salted.
+
+Null text: empty, nothing removed. Null doc_id: larger than all others (as is one within 2**40 of the largest long), and none of them smaller than another.
+Rows that repeat a doc_id do not affect each other; each is judged against smaller ids. Texts of one id are told apart by a CRC-32.
+Very long texts: anchors are sought in overlapping stretches. Empty table: no rows. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,18 +36,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lumensift.llm.common import blocks, partitions
+from lumensift.llm.common import blocks, partitions, quoted
 
 #: Bytes of an anchor; input bytes to a bucket; least and most bits of a bucket's number; bytes of a suffix array, unless one anchor has more.
-K, BUCKET_BYTES, BITS, ARRAY_BYTES = 24, 8_000_000, (4, 18), 2_000_000
+K, BUCKET_BYTES, BITS, ARRAY_BYTES = 24, 8_000_000, (4, 28), 2_000_000
 #: Bits of a position in a stretch that anchors are sought in; longer blocks are cut.
 POSITION = 24
 #: Characters handled together while anchors are sought.
-BLOCK = 3_000_000
+BLOCK = 2_000_000
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-LAST_ID = (1 << 63) - 1
+#: Ids from here on stand for null, with a hash of the text in the low bits, so that such rows spread; none of them is smaller than another.
+NULLS = (1 << 63) - (1 << 40)
+#: Ways that the rows of one text are dealt.
+SALTS = 16
 RUN = np.dtype([("doc_id", "<i8"), ("check", "<u4"), ("start", "<u4"), ("anchor", "<u4"), ("length", "u1")])
+MARK = np.dtype([("id", "<i8"), ("check", "<i8"), ("span", "<i8")])
 
 
 def hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -127,50 +137,65 @@ def _from_planes(blob: memoryview, n: int, width: int, kind: str) -> np.ndarray:
 
 
 def anchors(block: pa.RecordBatch, strings: list[str], least: int, bits: int) -> pa.RecordBatch:
-    """A row for each bucket: 48 bits of the hashes and the doc_ids of a block's different anchors."""
+    """A row for each bucket: 48 bits of the hashes and the doc_ids of a block's different anchors. Of an anchor that several ids of the block
+    have, the bucket gets the least and the greatest id alone; the others are known to share it, and are in a row with a negative number."""
     data, bounds = joined(strings)
     first, _, h = runs(data, bounds, least) if len(data) else (np.zeros(0, np.int64), None, np.zeros(0, np.uint64))
     ids = block.column(0).to_numpy(zero_copy_only=False)[np.searchsorted(bounds, first, side="right") - 1]
-    order, buckets, cuts = _by_bucket(h, bits)
+    order = np.lexsort((ids, h))
     h, ids = h[order], ids[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (ids[1:] != ids[:-1])
-    blobs = []
+    h, ids = h[new], ids[new]
+    begins = np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]])
+    ends = np.concatenate([begins[1:], np.ones(min(1, len(h)), bool)])
+    known = np.zeros(len(h), bool)
+    if len(h):
+        at, known_ids = np.flatnonzero(begins), np.minimum(ids, NULLS)
+        known = np.repeat(known_ids[at] < known_ids[np.flatnonzero(ends)], np.diff(np.append(at, len(h)))) & ~begins & ~ends
+    blobs, named = [], []
+    if known.any():
+        named.append(-1 - int(ids[0]) % 997)
+        blobs.append(_planes(h[known], 6) + _planes(ids[known], 8))
+        h, ids = h[~known], ids[~known]
+    _, buckets, cuts = _by_bucket(h, bits)
     for a, b in zip(cuts, cuts[1:], strict=False):
-        keep = new[a:b]
-        blobs.append(_planes(h[a:b][keep], 6) + _planes(ids[a:b][keep], 8))
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        blobs.append(_planes(h[a:b], 6) + _planes(ids[a:b], 8))
+    return pa.RecordBatch.from_arrays([pa.array([*named, *buckets.tolist()], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
-def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The blobs of each bucket of a partition that is sorted by bucket."""
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Each bucket of a partition that is sorted by bucket, and its blobs; those with negative numbers one by one."""
     now, held = None, []
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if bucket != now and held:
-                yield held
+            if (bucket != now or bucket < 0) and held:
+                yield now, held
                 held = []
             now = bucket
             held.append(blob)
     if held:
-        yield held
+        yield now, held
 
 
 def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, anchor) of the anchors that documents of different doc_ids have."""
-    for blobs in by_key(batches):
+    for bucket, blobs in by_key(batches):
         h = np.concatenate([_from_planes(memoryview(b), len(b) // 14, 6, "<u8") for b in blobs])
         ids = np.concatenate([_from_planes(memoryview(b)[len(b) // 14 * 6 :], len(b) // 14, 8, "<i8") for b in blobs])
-        order = np.argsort(h, kind="stable")
-        h, ids = h[order], ids[order]
-        first = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1])
-        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
-        keep = np.repeat(several, np.diff(np.append(first, len(h))))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(h[keep].astype(np.int64))], ["id", "anchor"])
+        if bucket >= 0:
+            order = np.argsort(h, kind="stable")
+            h, ids = h[order], ids[order]
+            first, known = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1]), np.minimum(ids, NULLS)
+            several = np.minimum.reduceat(known, first) != np.maximum.reduceat(known, first)
+            keep = np.repeat(several, np.diff(np.append(first, len(h))))
+            h, ids = h[keep], ids[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h.astype(np.int64))], ["id", "anchor"])
 
 
 def windows(ids: np.ndarray, strings: list[str], wanted: list[np.ndarray], least: int, bits: int) -> pa.RecordBatch:
-    """A row for each bucket: the runs whose anchor the document shares, as RUN records and their strings."""
+    """A row for each bucket: the runs whose anchor the document shares, as RUN records and their strings. A run whose whole string a
+    smaller id of the block has goes as it is; its mark is in a row with a negative number, and the bucket does not get it."""
     data, bounds = joined(strings)
     first, count, h = runs(data, bounds, least)
     doc = np.searchsorted(bounds, first, side="right") - 1
@@ -186,10 +211,59 @@ def windows(ids: np.ndarray, strings: list[str], wanted: list[np.ndarray], least
     rows["check"] = np.array([zlib.crc32(data[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], np.uint32)[doc]
     rows["anchor"] = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     at, size = first, rows["length"].astype(np.int64)
+    blobs, named = [], []
+    again = np.zeros(len(h), bool)
+    again[1:] = h[1:] == h[:-1]
+    again[:-1] |= again[1:]
+    again = np.flatnonzero(again)
+    if len(again):
+        text, _ = _cut(data, at[again], size[again])
+        group, lead = _equal(_matrix(text, size[again], -(-int(size[again].max()) // 8) * 8), size[again])
+        known = np.minimum(rows["doc_id"][again], NULLS)
+        gone = again[known > np.minimum.reduceat(known[group], lead)[_numbers(group, lead)]]
+        if len(gone):
+            marks = np.zeros(len(gone), MARK)
+            marks["id"], marks["check"], marks["span"] = rows["doc_id"][gone], rows["check"][gone], rows["start"][gone].astype(np.int64) << 16 | size[gone]
+            named.append(-1 - int(ids[0]) % 997)
+            blobs.append(marks.tobytes())
+            stay = np.ones(len(rows), bool)
+            stay[gone] = False
+            rows, at, size, h = rows[stay], at[stay], size[stay], h[stay]
+            _, buckets, cuts = _by_bucket(h, bits)
+    text, ends = _cut(data, at, size)
+    blobs += [len(rows[a:b]).to_bytes(4, "little") + rows[a:b].tobytes() + text[ends[a] : ends[b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array([*named, *buckets.tolist()], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def _cut(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of data, one after another, and where each begins (then the end)."""
     ends = np.concatenate([[0], np.cumsum(size)])
-    text = data[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
-    blobs = [len(rows[a:b]).to_bytes(4, "little") + rows[a:b].tobytes() + text[ends[a] : ends[b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    return data[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
+def _matrix(text: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Strings that lie one after another as rows, with zeros behind."""
+    out = np.zeros((len(size), width), np.uint8)
+    out[np.arange(width)[None, :] < size[:, None]] = text
+    return out
+
+
+def _equal(matrix: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of strings in which equal ones are neighbours, and where each group of equal ones begins in it."""
+    mixed = length.astype(np.uint64)
+    for word in matrix.view("<u8").reshape(len(matrix), -1).T:
+        mixed = (mixed ^ word) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+    order = np.argsort(mixed, kind="stable")
+    same = (mixed[order][1:] == mixed[order][:-1]) & (matrix[order[1:]] == matrix[order[:-1]]).all(axis=1) & (length[order][1:] == length[order][:-1])
+    return order, np.concatenate([[0], np.flatnonzero(~same) + 1])
+
+
+def _numbers(order: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The number of each string's group."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(order))))
+    return out
 
 
 def _words(text: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -298,22 +372,16 @@ def _least_ids(strings: np.ndarray, lengths: np.ndarray, ids: np.ndarray, least:
 def _spans(rows: np.ndarray, matrix: np.ndarray, least: int) -> pa.RecordBatch:
     """Spans to remove of runs that hold all runs of their anchors."""
     length = rows["length"].astype(np.int64)
-    mixed = length.astype(np.uint64)
-    for word in matrix.view("<u8").reshape(len(rows), -1).T:
-        mixed = (mixed ^ word) * _MIX
-        mixed ^= mixed >> np.uint64(29)
-    order = np.argsort(mixed, kind="stable")
-    same = (mixed[order][1:] == mixed[order][:-1]) & (matrix[order[1:]] == matrix[order[:-1]]).all(axis=1) & (length[order][1:] == length[order][:-1])
-    lead = np.concatenate([[0], np.flatnonzero(~same) + 1])
-    string = np.empty(len(rows), np.int64)
-    string[order] = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(rows))))
+    order, lead = _equal(matrix, length)
+    string = _numbers(order, lead)
     chosen = order[lead]
-    smallest = np.minimum.reduceat(rows["doc_id"][order], lead)
+    ids = np.minimum(rows["doc_id"], NULLS)
+    smallest = np.minimum.reduceat(ids[order], lead)
     lowest, first = _least_ids(matrix[chosen], length[chosen], smallest, least)
     count = length - least + 1
     base = np.concatenate([[0], np.cumsum(count)])
     within = np.arange(base[-1]) - np.repeat(base[:-1], count)
-    gone = lowest[np.repeat(first[string], count) + within] < np.repeat(rows["doc_id"], count)
+    gone = lowest[np.repeat(first[string], count) + within] < np.repeat(ids, count)
     far = np.int64(1 << 40)
     low = np.minimum.reduceat(np.where(gone, within, far), base[:-1])
     high = np.maximum.reduceat(np.where(gone, within, -1), base[:-1])
@@ -326,7 +394,11 @@ def _spans(rows: np.ndarray, matrix: np.ndarray, least: int) -> pa.RecordBatch:
 def equal_windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, checksum of the text, start << 16 | length) of spans that a document with a smaller id has as well."""
     width = -(-(2 * least - K) // 8) * 8
-    for blobs in by_key(batches):
+    for bucket, blobs in by_key(batches):
+        if bucket < 0:
+            marks = np.frombuffer(blobs[0], MARK)
+            yield pa.RecordBatch.from_arrays([pa.array(marks[c].copy()) for c in MARK.names], [*MARK.names])
+            continue
         sizes = [int.from_bytes(b[:4], "little") for b in blobs]
         rows = np.concatenate([np.frombuffer(b, RUN, n, 4) for b, n in zip(blobs, sizes, strict=True)])
         text = np.frombuffer(b"".join(b[4 + n * RUN.itemsize :] for b, n in zip(blobs, sizes, strict=True)), np.uint8)
@@ -336,11 +408,8 @@ def equal_windows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
         load = np.cumsum(rows["length"][order].astype(np.int64))
         part = np.maximum.accumulate(np.where(new, load // ARRAY_BYTES, 0))  # cut between anchors only
         for chosen in np.split(order, np.flatnonzero(np.diff(part)) + 1):
-            matrix = np.zeros((len(chosen), width), np.uint8)
             size = rows["length"][chosen].astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(size)])
-            within = np.arange(ends[-1]) - np.repeat(ends[:-1], size)
-            matrix.ravel()[np.repeat(np.arange(len(chosen)) * width, size) + within] = text[np.repeat(begin[chosen], size) + within]
+            matrix = _matrix(_cut(text, begin[chosen], size)[0], size, width)
             yield _spans(rows[chosen], matrix, least)
 
 
@@ -360,9 +429,9 @@ def _marked(docs: DataFrame, least: int) -> DataFrame:
     """id, text, more (the other columns), digests (of the texts that a smaller id has as well) and marks (spans with the checksum of their text)."""
     if not K < least <= 2 * K + 6:
         raise ValueError(f"least must be from {K + 1} to {2 * K + 6}")
-    others = [docs[c] for c in docs.columns if c != "text"]
+    others, text = [docs[quoted(c)] for c in docs.columns if c != "text"], F.coalesce(docs["text"].cast("string"), F.lit(""))
     # all branches below read these three columns, so that Spark shuffles the texts once and reuses the exchange
-    base = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), F.struct(*others).alias("more"))
+    base = docs.select(F.coalesce(F.least(docs["doc_id"].cast("long"), F.lit(NULLS)), F.lit(NULLS) + F.pmod(F.xxhash64(text), F.lit(1 << 40))).alias("id"), text.alias("text"), F.struct(*others).alias("more"))
     digests = base.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.octet_length("text").alias("n"))
     total = digests.agg(F.sum("n")).first()[0] or 0
     bits = int(min(BITS[1], max(BITS[0], math.ceil(math.log2(max(1, total / BUCKET_BYTES))))))
@@ -382,8 +451,11 @@ def _marked(docs: DataFrame, least: int) -> DataFrame:
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(n, "bucket").sortWithinPartitions("bucket")
 
-    first = digests.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = digests.join(first, "digest").where("id > first").groupBy("id").agg(F.collect_set("digest").alias("digests"))
+    order = F.least(F.col("id"), F.lit(NULLS))
+    first = digests.groupBy("digest").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first < last")
+    salted = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a text may have a third of all rows
+    of_copies = digests.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["digest", "salt"])
+    copies = of_copies.where(order > F.col("first")).groupBy("id").agg(F.collect_set("digest").alias("digests"))
     copied = F.when(F.col("digests").isNull(), False).otherwise(F.array_contains("digests", F.sha2(F.col("text").cast("binary"), 256)))
     unique = base.join(copies, "id", "left").where(~copied)  # the other texts of a copy's id stay
     found = dealt(unique.mapInArrow(seek, "bucket int, blob binary")).mapInArrow(shared_anchors, "id long, anchor long")
@@ -435,6 +507,6 @@ def deduplicated(docs: DataFrame, least: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("more"), pa.array(kept, pa.string())], ["more", "text"])
 
     marked = _marked(docs, least)
-    left = marked.mapInArrow(work, f"more {marked.schema['more'].dataType.simpleString()}, text string")
+    left = marked.mapInArrow(work, T.StructType([marked.schema["more"], T.StructField("text", T.StringType())]))
     recounted = F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return left.select(*(F.col("text") if c == "text" else recounted.alias(c) if c == "n_chars" else F.col(f"more.`{c}`").alias(c) for c in docs.columns))
+    return left.select(*(F.col("text") if c == "text" else recounted.alias(c) if c == "n_chars" else F.col("more")[c].alias(c) for c in docs.columns))
