@@ -19,6 +19,11 @@ BLOCK_CHARS = 2_000_000
 HELD_OUT_MOD = 5
 
 
+def quoted(name: str) -> str:
+    """A column's name for references, whatever it has in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,10 +74,12 @@ def map_blocks(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch, list[
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or the context's checkpoint folder. Only where neither is set (tests) a temporary one is made."""
+    """The folder named by spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set, a temporary one if all runs in this machine's one process (tests), else an error."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = Path(tempfile.mkdtemp(prefix="checkpoint")).as_uri()
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -85,13 +92,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder (or to a path, see new_path()) and read again."""
+    path = path or new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what written() made."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session, which its owner sizes by the input."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

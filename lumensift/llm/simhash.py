@@ -10,6 +10,10 @@ Equal fingerprints are one row before candidates are sought, however many docume
 are reduced to a spanning forest at once, so what leaves a task grows with its rows, not with pairs. A key with very
 many different fingerprints is divided again by further segments (exactly: by the pigeonhole principle), never capped.
 
+deduplicated() seeks near copies as five-word shingles define them: each text has six fingerprints of its different words, which
+near copies share more of than of their shingles; whose fingerprints are near by any seed is a candidate, and candidates are held to
+the Jaccard similarity of their shingles. 64 bits of SHA-256 stand for a text, 64-bit hashes for its shingles.
+
 Null text: no words, fingerprint zero, linked like any other. Null doc_id: has a fingerprint, and is the component_id only of
 a component without other ids. Repeated rows have equal fingerprints. Fewer than three words: the whole sequence is the one shingle.
 """
@@ -21,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import map_blocks, partitions, texts
+from lumensift.llm.common import checkpointed, map_blocks, partitions, quoted, texts
 from lumensift.llm.components import components
+from lumensift.llm.numbered import within
 
 SEED = 42
 #: Fixed value: words are runs of anything but these white-space characters.
@@ -82,7 +87,13 @@ def _chains(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
 
 
 def forest(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what links within `limit` bits join among distinct values; each is such a link or joins the ends of a path of them."""
+    """spanning(), with the values themselves."""
+    a, b = spanning(values, limit)
+    return values[a], values[b]
+
+
+def spanning(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) that join what links within `limit` bits join among distinct values; each is such a link or joins the ends of a path of them."""
     root = np.arange(len(values))
 
     def find(i: int) -> int:
@@ -120,13 +131,20 @@ def forest(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     divide(np.arange(len(values)), list(range(64)))
     ends = np.array([find(i) for i in range(len(values))], np.int64)
     moved = np.flatnonzero(ends != np.arange(len(values)))
-    return values[moved], values[ends[moved]]
+    return moved, ends[moved]
 
 
 def _links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Spanning links of a partition that holds each of its keys whole."""
     held = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int32()), ("fp", pa.int64())]))
-    key, fp = held["key"].to_numpy(), held["fp"].to_numpy().view(np.uint64)
+    fp = held["fp"].to_numpy().view(np.uint64)
+    a, b = close(held["key"].to_numpy(), fp, limit)
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)) for x in (a, b)], ["a", "b"])
+
+
+def close(key: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of fingerprints that are linked within a key: all near pairs of keys with 64 rows at most, a spanning forest of others."""
     order = np.argsort(key, kind="stable")
     key, fp = key[order], fp[order]
     size = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]))
@@ -135,21 +153,28 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
     small = size <= 64
     for gap in range(1, int(size[small].max(initial=1))):  # pairs of small groups, all groups together
         use = small & (size > gap)
-        at = np.repeat(first[use], size[use] - gap) + _within(size[use] - gap)
+        at = np.repeat(first[use], size[use] - gap) + within(size[use] - gap)
         near = _chains(fp[at], fp[at + gap], limit)
-        found_a.append(fp[at[near]])
-        found_b.append(fp[at[near] + gap])
+        found_a.append(at[near])
+        found_b.append(at[near] + gap)
     for a, n in zip(first[~small].tolist(), size[~small].tolist(), strict=True):
-        x, y = forest(fp[a : a + n], limit)
-        found_a.append(x)
-        found_b.append(y)
-    if found_a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in (found_a, found_b)], ["a", "b"])
+        x, y = spanning(fp[a : a + n], limit)
+        found_a.append(a + x)
+        found_b.append(a + y)
+    none = np.zeros(0, np.int64)
+    return order[np.concatenate([none, *found_a])], order[np.concatenate([none, *found_b])]
 
 
-def _within(sizes: np.ndarray) -> np.ndarray:
-    """0 to n - 1 for each n of sizes."""
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def ring_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 8 keys of each fingerprint: a segment, and a half of the next; and the fingerprints as signed numbers, repeated 8 times."""
+    out = []
+    for i in range(4):
+        segment = (fp >> np.uint64(16 * i)) & np.uint64(0xFFFF)
+        after = (fp >> np.uint64(16 * ((i + 1) % 4))) & np.uint64(0xFFFF)
+        for half in (0, 1):
+            part = (after >> np.uint64(8 * half)) & np.uint64(0xFF)
+            out.append((np.uint64(i << 1 | half) << np.uint64(24) | segment << np.uint64(8) | part).astype(np.int32))
+    return np.concatenate(out), np.tile(fp.view(np.int64), 8)
 
 
 def fingerprint_links(distinct: DataFrame, limit: int = 3) -> DataFrame:
@@ -159,15 +184,7 @@ def fingerprint_links(distinct: DataFrame, limit: int = 3) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            out = []
-            for i in range(4):
-                segment = (fp >> np.uint64(16 * i)) & np.uint64(0xFFFF)
-                after = (fp >> np.uint64(16 * ((i + 1) % 4))) & np.uint64(0xFFFF)
-                for half in (0, 1):
-                    part = (after >> np.uint64(8 * half)) & np.uint64(0xFF)
-                    out.append((np.uint64(i << 1 | half) << np.uint64(24) | segment << np.uint64(8) | part).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.tile(fp.view(np.int64), 8))], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ring_keys(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))], ["key", "fp"])
 
     keyed = distinct.select("fp").mapInArrow(keys, "key int, fp long").repartition(partitions(distinct), "key")
     return keyed.mapInArrow(lambda batches: _links(batches, limit), "a long, b long")
@@ -175,8 +192,6 @@ def fingerprint_links(distinct: DataFrame, limit: int = 3) -> DataFrame:
 
 def near_components(docs: DataFrame, shingle: int = 3, limit: int = 3, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (the smallest doc_id reachable over links, itself included) of each row."""
-    from lumensift.llm.common import checkpointed
-
     prints = checkpointed(fingerprints(docs, shingle, seed))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     labels = components(fingerprint_links(first, limit)).select(F.col("node").alias("fp"), "root")
@@ -186,8 +201,114 @@ def near_components(docs: DataFrame, shingle: int = 3, limit: int = 3, seed: int
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, shingle: int = 3, limit: int = 3, seed: int = SEED) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns. Rows that repeat such a doc_id stay; a null doc_id stays where its component has no id."""
-    groups = near_components(docs, shingle, limit, seed)
-    stays = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(F.col("stays")), "left_semi")
+#: Fingerprints of a text that near copies are sought by, and the words of a shingle and the similarity that they are held to.
+SEEDS, SHINGLE, SIMILAR = 6, 5, 0.8
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _word_hashes(text: bytes) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(w) for w in WORDS(text.translate(LOWER))], np.uint64)
+
+
+def word_fingerprints(text: bytes, seeds: int = SEEDS) -> np.ndarray:
+    """SimHash fingerprints of the different words of a text, by as many seeds."""
+    words = np.unique(_word_hashes(text))
+    out = np.zeros(seeds, np.uint64)
+    for r in range(seeds if len(words) else 0):
+        x = (words ^ np.uint64((r + 1) * int(_ODD) & (1 << 64) - 1)) * _MIX
+        x = (x ^ x >> np.uint64(29)) * _ODD
+        x ^= x >> np.uint64(32)
+        counts = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[r] = np.packbits(2 * counts > len(x), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the different shingles of n words; of a shorter text, of all its words as one."""
+    words = _word_hashes(text)
+    if not len(words):
+        return words
+    n = min(n, len(words))
+    total = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        total = (total ^ words[k : len(words) - n + 1 + k]) * _ODD
+        total ^= total >> np.uint64(31)
+    return np.unique(total)
+
+
+def _node(text: Column) -> Column:
+    """What stands for a text: 64 bits of its SHA-256."""
+    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 16), 16, -10).cast("long")
+
+
+def _candidate_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of a partition that holds each of its keys whole: nodes of one fingerprint are linked to the first of them, and these
+    firsts as _links() links their fingerprints."""
+    held = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int32()), ("fp", pa.int64()), ("node", pa.int64())]))
+    key, fp, node = (held[c].to_numpy() for c in held.column_names)
+    order = np.lexsort((node, fp, key))
+    key, fp, node = key[order], fp[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+    first = np.flatnonzero(new)
+    owner = np.repeat(first, np.diff(np.append(first, len(key))))
+    found_a, found_b = [node[~new]], [node[owner][~new]]
+    x, y = close(key[first], fp[first].view(np.uint64), limit)
+    found_a.append(node[first[x]])
+    found_b.append(node[first[y]])
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def similar_links(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, seeds: int = SEEDS, limit: int = 3) -> DataFrame:
+    """Links (a, b) between the nodes of different texts whose sets of word shingles have a Jaccard similarity of `similar` or more.
+
+    Candidates are pairs of which, by one seed at least, the fingerprints of the different words differ in `limit` bits at most, found by
+    pigeonring filtering; each is held to the shingles themselves."""
+    rows = docs.select(_node(F.col("text")).alias("node"), "text")
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([word_fingerprints(t.as_buffer().to_pybytes(), seeds) for t in batch.column(1).cast(pa.binary())], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(fp.ravel(), seeds).cast(pa.list_(pa.int64()))], ["node", "fps"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, seeds)
+            for r in range(seeds):
+                key, fp = ring_keys(fps[:, r])
+                yield pa.RecordBatch.from_arrays([pa.array(key | np.int32(r << 27)), pa.array(fp), pa.array(np.tile(batch.column(0).to_numpy(), 8))], ["key", "fp", "node"])
+
+    known = rows.mapInArrow(prints, "node long, fps array<long>").dropDuplicates(["node"])
+    keyed = known.mapInArrow(keys, "key int, fp long, node long").repartition(partitions(docs), "key")
+    links = checkpointed(keyed.mapInArrow(lambda batches: _candidate_links(batches, limit), "a long, b long").distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_ = [shingles(t.as_buffer().to_pybytes(), shingle).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets_, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = checkpointed(rows.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    pairs = links.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.where((both > 0) & (both >= similar * (F.size("x") + F.size("y") - both))).select("a", "b")
+
+
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, seeds: int = SEEDS, limit: int = 3) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) whose doc_id is the smallest of their group, with all their columns.
+
+    A group is what similar_links() and equal texts join. Null text: empty; texts without words are a group only with texts equal to them. Null doc_id: stays
+    where its group has no id. Rows that repeat both doc_id and text stay together, as ties do. Any column names; empty table: no rows."""
+    base = docs.select(F.struct(*(docs[quoted(c)] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    named = base.select("doc_id", _node(F.col("text")).alias("node"))
+    least = checkpointed(named.groupBy("node").agg(F.min("doc_id").alias("first_id")))
+    groups = components(similar_links(base.select("text"), shingle, similar, seeds, limit)).select("node", "root")
+    rooted = least.join(groups, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    of_group = rooted.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    stays = rooted.join(of_group, "root").where(F.col("first_id").eqNullSafe(F.col("least_id"))).select("node", F.col("least_id").alias("stays_id"))
+    rows = base.select("row", "doc_id", _node(F.col("text")).alias("node"))
+    return rows.join(stays, (rows["node"] == stays["node"]) & rows["doc_id"].eqNullSafe(stays["stays_id"]), "left_semi").select("row.*")
