@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import math
 import time
+from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumensift.operators import catalog, facets, rag
 from lumensift.operators.highlight import with_fragments
 from lumensift.operators.index import SearchIndex, build
 from lumensift.operators.search import SearchResult, search
 from lumensift.operators.suggest import did_you_mean, merged_suggestions
-from lumensift.schema import LANGUAGES, AppConfig
+from lumensift.schema import LANGUAGES, AppConfig, small
 from lumensift.sources import corpora
 from lumensift.sources.state import Store
 from lumensift.streaming import learner
@@ -64,7 +66,7 @@ class SearchService:
             self.bots.register(self.config.bot_name, "telegram")
         self.store = Store(self.spark, self.config.state_path, self.config.backup_dir, self.config.backup_enabled)
         self.queries = learner.replaced(self.store.load())
-        self._new: list[tuple[str]] = []
+        self._new: Counter[str] = Counter()
 
     @classmethod
     def over(cls, docs: DataFrame, config: AppConfig | None = None) -> SearchService:
@@ -91,18 +93,38 @@ class SearchService:
         return {"query": result.query, "total": result.total, "ms": (time.perf_counter() - began) * 1000, "hits": hits, "did_you_mean": hint}
 
     def remember(self, query: str) -> None:
-        """Queries are added to the counts at the next read of them, all at once."""
-        self._new.append((query,))
+        """Counts a query. What was asked since the last flush is kept here, by query."""
+        self._new[query] += 1
 
     def learned(self) -> DataFrame:
-        if self._new:
-            new, self._new = self._new, []
-            counted = learner.added(self.queries, learner.remember(self.spark.createDataFrame(new, "query string")))
-            self.queries = self.spark.createDataFrame(counted.collect(), counted.schema) if counted.count() <= 100_000 else counted
-        return self.queries
+        """(query, n): the state with what was asked since."""
+        if not self._new:
+            return self.queries
+        asked = learner.normal(small(self.spark, [*self._new.items()], "query string, n bigint").select("query", "n"), "query", "n")
+        return learner.added(self.queries, asked.groupBy("query").agg(F.sum("n").alias("n")))
 
     def flush(self) -> bool:
-        return self.store.save(self.learned())
+        """Saves the counts, and goes on from what was saved; False if the store is not enabled."""
+        if not self.store.save(self.learned()):
+            return False
+        self.queries, self._new = self.store.load(), Counter()
+        return True
+
+    def forget(self) -> None:
+        """Empties the counts; the store has them until the next flush."""
+        self.queries, self._new = self.queries.limit(0), Counter()
+
+    def close(self) -> None:
+        """At shutdown: saves what was asked since the last flush, and lets the index go."""
+        if self._new:
+            self.flush()
+        self.index.unpersist()
+
+    def __enter__(self) -> SearchService:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     def suggest(self, query: str | None = None, limit: Any = None) -> list[str]:
         if not (query or "").strip():
@@ -144,7 +166,7 @@ class SearchService:
         found = self.store.restore()
         if found is None:
             return {"restored": False}
-        self.queries, self._new = learner.replaced(found[1]), []
+        self.queries, self._new = learner.replaced(found[1]), Counter()
         return {"restored": True, "snapshot": found[0], "queries": self.queries.count()}
 
     def providers(self, group: str | None = None, query: str | None = None) -> DataFrame:

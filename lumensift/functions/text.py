@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,19 +62,20 @@ def detect_lang(text: Column) -> Column:
 
 # Suffixes and what replaces them, in the order in which they are tried, and the vowels.
 STEP_2 = (
-    "ational ate, tional tion, enci ence, anci ance, izer ize, abli able, alli al, entli ent, eli e, ousli ous, ization ize, "
-    "ation ate, ator ate, alism al, iveness ive, fulness ful, ousness ous, aliti al, iviti ive, biliti ble, logi log"
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"),
+    ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"),
+    ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log"),
+)
+STEP_3 = (
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
+)
+STEP_4 = (
+    ("al", ""), ("ance", ""), ("ence", ""), ("er", ""), ("ic", ""), ("able", ""), ("ible", ""), ("ant", ""), ("ement", ""), ("ment", ""), ("ent", ""),
+    ("ism", ""), ("ate", ""), ("iti", ""), ("ous", ""), ("ive", ""), ("ize", ""),
 )
-STEP_3 = "icate ic, ative -, alize al, iciti ic, ical ic, ful -, ness -"
-STEP_4 = "al -, ance -, ence -, er -, ic -, able -, ible -, ant -, ement -, ment -, ent -, ism -, ate -, iti -, ous -, ive -, ize -"
 VOWELS = "aeiouy"
 
 
-def rules(listed: str) -> list[tuple[str, str]]:
-    pairs = [rule.split() for rule in listed.split(",")]
-    return [(suffix, "" if to == "-" else to) for suffix, to in pairs]
-
-
 _V, _C = f"[{VOWELS}]", f"[^{VOWELS}]"
 #: Stems with more than 0 and more than 1 groups of vowels. Lazy, so that of the suffixes that fit the longest one goes: where one
 #: suffix of a list ends another, the longer comes first, so this is the first that fits.
@@ -83,13 +84,16 @@ OVER_0, OVER_1 = f".*?{_V}.*?", f".*?{_V}{_C}+{_V}.*?"
 MARK = "\x01"
 
 
-def _replaced(listed: str, stem: str) -> Callable[[Column], Column]:
-    pairs = rules(listed)
+def _replaced(pairs: Sequence[tuple[str, str]], stem: str) -> Callable[[Column], Column]:
     pattern = f"^({stem})({'|'.join(suffix for suffix, _ in pairs)})$"
     if not any(to for _, to in pairs):
         return lambda w: F.regexp_replace(w, pattern, "$1")
-    by_suffix = ",".join(f"{suffix}:{to}" for suffix, to in pairs)
-    return lambda w: F.when(w.rlike(pattern), F.concat(F.regexp_extract(w, pattern, 1), F.element_at(F.str_to_map(F.lit(by_suffix), F.lit(","), F.lit(":")), F.regexp_extract(w, pattern, 2)))).otherwise(w)
+
+    def replace(w: Column) -> Column:
+        by_suffix = F.create_map(*(F.lit(x) for pair in pairs for x in pair))
+        return F.when(w.rlike(pattern), F.concat(F.regexp_extract(w, pattern, 1), F.element_at(by_suffix, F.regexp_extract(w, pattern, 2)))).otherwise(w)
+
+    return replace
 
 
 def _plural(w: Column) -> Column:
@@ -123,17 +127,17 @@ ENGLISH_STEPS = (_plural, _past, _mended, _final_y, _replaced(STEP_2, OVER_0), _
 
 # --- Russian -----------------------------------------------------------------------------------------------------------
 
-# Endings. Those after "[ая] +" count only after one of these two letters.
-GERUND, GERUND_AFTER_A = "ив|ивши|ившись|ыв|ывши|ывшись", "в|вши|вшись"
-ADJECTIVE = "ее|ие|ые|ое|ими|ыми|ей|ий|ый|ой|ем|им|ым|ом|его|ого|ему|ому|их|ых|ую|юю|ая|яя|ою|ею"
-PARTICIPLE, PARTICIPLE_AFTER_A = "ивш|ывш|ующ", "ем|нн|вш|ющ|щ"
-REFLEXIVE = "с|ся"
+# Patterns of endings, and the vowels. In those of verbs the first alternatives match anywhere, which results depend on.
+GERUND = "(?:ив|ивши|ившись|ыв|ывши|ывшись|(?<=[ая])(?:в|вши|вшись))$"
+ADJECTIVE = "(?:ее|ие|ые|ое|ими|ыми|ей|ий|ый|ой|ем|им|ым|ом|его|ого|ему|ому|их|ых|ую|юю|ая|яя|ою|ею)$"
+PARTICIPLE = "(?:ивш|ывш|ующ|(?<=[ая])(?:ем|нн|вш|ющ|щ))$"
+REFLEXIVE = "(?:с|ся)$"
 VERB = (
-    "ила|ыла|ена|ейте|уйте|ите|или|ыли|ей|уй|ил|ыл|им|ым|ен|ило|ыло|ено|ять|ует|уют|ют|уйте|ите|ишь|ила|или|ыла|ыли|"
-    "ый|ым|ому|ыми|ей|ое|ился|илась|ились|енось|итесь"
+    "ила|ыла|ена|ейте|уйте|ите|или|ыли|ей|уй|ил|ыл|им|ым|ен|ило|ыло|ено|ять|ует|уют|ют|уйте|ите|ишь|ила|и"
+    "ли|ыла|ыли|ый|ым|ому|ыми|ей|ое|ился|илась|ились|енось|итесь"
+    "|(?<=[ая])(?:ла|на|ете|йте|ли|й|л|ем|н|ло|но|ет|ют|ны|ть|ешь|нно)$"
 )
-VERB_AFTER_A = "ла|на|ете|йте|ли|й|л|ем|н|ло|но|ет|ют|ны|ть|ешь|нно"
-NOUN = "а|ев|ов|ие|ье|е|иями|ями|ами|еи|ии|и|ией|ей|ой|ий|й|иям|ям|ием|ем|ам|ом|о|у|ах|иях|ях|ы|ь|ию|ью|ю|ия|ья|я"
+NOUN = "(?:а|ев|ов|ие|ье|е|иями|ями|ами|еи|ии|и|ией|ей|ой|ий|й|иям|ям|ием|ем|ам|ом|о|у|ах|иях|ях|ы|ь|ию|ью|ю|ия|ья|я)$"
 RUSSIAN_VOWELS = "аеиоуыэюя"
 
 
@@ -142,12 +146,7 @@ def _without(pattern: str) -> Callable[[Column], Column]:
     return lambda rest: F.regexp_replace(rest, f"^(.*?)(?:{pattern})", "$1")
 
 
-_gerund = _without(f"(?:{GERUND}|(?<=[ая])(?:{GERUND_AFTER_A}))$")
-_reflexive = _without(f"(?:{REFLEXIVE})$")
-_adjective = _without(f"(?:{ADJECTIVE})$")
-_participle = _without(f"(?:{PARTICIPLE}|(?<=[ая])(?:{PARTICIPLE_AFTER_A}))$")
-_verb = _without(f"{VERB}|(?<=[ая])(?:{VERB_AFTER_A})$")  # the first alternatives match anywhere, which results depend on
-_noun = _without(f"(?:{NOUN})$")
+_gerund, _reflexive, _adjective, _participle, _verb, _noun = map(_without, (GERUND, REFLEXIVE, ADJECTIVE, PARTICIPLE, VERB, NOUN))
 
 
 def stem_ru(word: Column) -> Column:
@@ -159,7 +158,7 @@ def stem_ru(word: Column) -> Column:
 
     def inflected(r: Column) -> Column:
         bare = _reflexive(r)
-        other_way = F.when(bare.rlike(f"(?:{ADJECTIVE})$"), _participle(_adjective(bare))).otherwise(_verb(bare))
+        other_way = F.when(bare.rlike(ADJECTIVE), _participle(_adjective(bare))).otherwise(_verb(bare))
         return F.when(_gerund(r) != r, _gerund(r)).otherwise(other_way)
 
     def derived(r: Column) -> Column:
@@ -194,6 +193,16 @@ def stem(word: Column, lang: str = "auto") -> Column:
     return F.when(word.rlike(CYRILLIC), russian).when(word.rlike(LATIN), english).otherwise(lower)
 
 
+def with_stem(words: DataFrame, word: str, name: str, lang: str = "auto") -> DataFrame:
+    """words with stem() of a column, for many words: each step is a projection of its own, which the JVM compiles."""
+    lower, english = F.lower(word), F.lit(False) if lang == "ru" else F.col(word).rlike(LATIN) & ~F.col(word).rlike(CYRILLIC) & (F.char_length(F.lower(word)) >= 3)
+    out = words.select("*", english.alias("_english"), lower.alias("_stem"))
+    for step in ENGLISH_STEPS:
+        out = out.withColumn("_stem", F.when(F.col("_english"), step(F.col("_stem"))).otherwise(F.col("_stem")))
+    russian = F.col("_stem") if lang == "en" else F.when(F.col(word).rlike(CYRILLIC), stem_ru(F.col(word))).otherwise(F.col("_stem"))
+    return out.select(*words.columns, russian.alias(name))
+
+
 # --- Keyboard layouts --------------------------------------------------------------------------------------------------
 
 # The same keys on both layouts.

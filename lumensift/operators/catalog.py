@@ -7,98 +7,89 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Providers by group, as id | name | models.
-CATALOGUE = {
-    "AI-модели": """
-anthropic | Anthropic | claude-opus-4, claude-sonnet-4, claude-haiku-4.5
-openai | OpenAI | gpt-5, gpt-5-nano, gpt-4o
-google | Google | gemini-2-5-pro, gemini-2-5-flash
-x-ai | xAI | grok-4, grok-3
-deepseek | DeepSeek | deepseek-v4-pro, deepseek-v3, deepseek-r1
-mistral | Mistral AI | mistral-large, mistral-medium, mixtral-8x7b
-moonshot | Moonshot AI | kimi-k2, moonshot-v1
-minimax | MiniMax | minimax-m2.1
-meta | Meta | llama-3.1-405b, llama-3-70b, codellama-70b
-cohere | Cohere | command-r-plus, command-r
-zhipu | Zhipu GLM | glm-4.6, glm-4-plus
-qwen | Qwen (Алибаба) | qwen-2.5-72b, qwen-coder
-baidu | Baidu ERNIE | ernie-4.0, ernie-bot
-perplexity | Perplexity | sonar, sonar-pro
-databricks | Databricks | dbrx, llama-3
-ai21 | AI21 Labs | jamba-1.5, jurassic-2
-writer | Writer | palmyra-x
-gigachat | GigaChat | gigachat-max
-sber | Сбер | gigachat-pro
-abacus | Abacus AI | gpt-4, claude-3
-apple | Apple | openelm-3b
-""",
-    "Инфраструктура": """
-groq | Groq | llama-3.1, mixtral-8x7b
-cerebras | Cerebras | qwen-3-coder-480b
-fireworks | Fireworks AI | kimi-k2-instruct
-together | Together AI | llama-3.1-405b, qwen-2.5-72b
-baseten | Baseten | kimi-k2-instruct
-nvidia | NVIDIA NIM | nemotron-3-super-120b, nemotron-mixture
-huggingface | Hugging Face | kimi-k2-instruct, glm-4.6
-deepinfra | Deep Infra | llama, qwen
-nebius | Nebius Token Factory | kimi-k2-instruct
-gmi | GMI Cloud | llama, qwen
-iotnet | IO.NET | llama, qwen, deepseek
-cortecs | Cortecs | kimi-k2-instruct
-frogbot | FrogBot | llama
-venice | Venice AI | llama, qwen
-poolside | Poolside | poolside
-za | Z.AI | z-ai
-modal | Modal | endpoints
-302ai | 302.AI | gpt, claude, gemini
-""",
-    "Облака и шлюзы": """
-amazon | Amazon Bedrock | claude, llama, mistral
-azure | Azure OpenAI | gpt-4o, gpt-35
-azure-cognitive | Azure Cognitive Services | openai, phi
-google-vertex | Google Vertex AI | gemini
-digitalocean | DigitalOcean | llama, qwen, deepseek
-openrouter | OpenRouter | 300+ моделей
-github-copilot | GitHub Copilot | gpt, claude
-gitlab-duo | GitLab Duo | claude-haiku-4.5, claude-sonnet-4.5, claude-opus-4.5
-ollama-cloud | Ollama Cloud | gpt-oss-20b-cloud
-vercel | Vercel AI Gateway | gpt, claude
-cloudflare | Cloudflare AI Gateway | gpt-4o, claude
-cloudflare-ai | Cloudflare Workers AI | workers-ai
-helicone | Helicone | routing
-llm-gateway | LLM Gateway | gpt, claude
-zenmux | ZenMux | routing
-stackit | STACKIT | llama
-ovhcloud | OVHcloud AI Endpoints | llama, mistral
-sap | SAP AI Core | sap-ai
-snowflake | Snowflake Cortex | cortex
-scaleway | Scaleway | llama, qwen
-opencode-zen | OpenCode Zen | zen
-""",
-    "Локальные": """
-ollama | Ollama | llama-3, mistral, qwen-2, gpt-oss
-lmstudio | LM Studio | gemma-3n-4b, локальные-gguf
-llamacpp | llama.cpp | qwen3-coder-a3b, gguf
-atomic-chat | Atomic Chat | openapi-совместимая
-vllm | vLLM | openai-совместимая
-localai | LocalAI | llama, gpt4all
-textgen | oobabooga | llama, mistral
-petals | Petals | bloom-176b
-""",
-}
+# Id, name, group and models of each provider.
+PROVIDERS = [
+    ("anthropic", "Anthropic", "AI-модели", ["claude-opus-4", "claude-sonnet-4", "claude-haiku-4.5"]),
+    ("openai", "OpenAI", "AI-модели", ["gpt-5", "gpt-5-nano", "gpt-4o"]),
+    ("google", "Google", "AI-модели", ["gemini-2-5-pro", "gemini-2-5-flash"]),
+    ("x-ai", "xAI", "AI-модели", ["grok-4", "grok-3"]),
+    ("deepseek", "DeepSeek", "AI-модели", ["deepseek-v4-pro", "deepseek-v3", "deepseek-r1"]),
+    ("mistral", "Mistral AI", "AI-модели", ["mistral-large", "mistral-medium", "mixtral-8x7b"]),
+    ("moonshot", "Moonshot AI", "AI-модели", ["kimi-k2", "moonshot-v1"]),
+    ("minimax", "MiniMax", "AI-модели", ["minimax-m2.1"]),
+    ("meta", "Meta", "AI-модели", ["llama-3.1-405b", "llama-3-70b", "codellama-70b"]),
+    ("cohere", "Cohere", "AI-модели", ["command-r-plus", "command-r"]),
+    ("zhipu", "Zhipu GLM", "AI-модели", ["glm-4.6", "glm-4-plus"]),
+    ("qwen", "Qwen (Алибаба)", "AI-модели", ["qwen-2.5-72b", "qwen-coder"]),
+    ("baidu", "Baidu ERNIE", "AI-модели", ["ernie-4.0", "ernie-bot"]),
+    ("perplexity", "Perplexity", "AI-модели", ["sonar", "sonar-pro"]),
+    ("databricks", "Databricks", "AI-модели", ["dbrx", "llama-3"]),
+    ("ai21", "AI21 Labs", "AI-модели", ["jamba-1.5", "jurassic-2"]),
+    ("writer", "Writer", "AI-модели", ["palmyra-x"]),
+    ("gigachat", "GigaChat", "AI-модели", ["gigachat-max"]),
+    ("sber", "Сбер", "AI-модели", ["gigachat-pro"]),
+    ("abacus", "Abacus AI", "AI-модели", ["gpt-4", "claude-3"]),
+    ("apple", "Apple", "AI-модели", ["openelm-3b"]),
+    ("groq", "Groq", "Инфраструктура", ["llama-3.1", "mixtral-8x7b"]),
+    ("cerebras", "Cerebras", "Инфраструктура", ["qwen-3-coder-480b"]),
+    ("fireworks", "Fireworks AI", "Инфраструктура", ["kimi-k2-instruct"]),
+    ("together", "Together AI", "Инфраструктура", ["llama-3.1-405b", "qwen-2.5-72b"]),
+    ("baseten", "Baseten", "Инфраструктура", ["kimi-k2-instruct"]),
+    ("nvidia", "NVIDIA NIM", "Инфраструктура", ["nemotron-3-super-120b", "nemotron-mixture"]),
+    ("huggingface", "Hugging Face", "Инфраструктура", ["kimi-k2-instruct", "glm-4.6"]),
+    ("deepinfra", "Deep Infra", "Инфраструктура", ["llama", "qwen"]),
+    ("nebius", "Nebius Token Factory", "Инфраструктура", ["kimi-k2-instruct"]),
+    ("gmi", "GMI Cloud", "Инфраструктура", ["llama", "qwen"]),
+    ("iotnet", "IO.NET", "Инфраструктура", ["llama", "qwen", "deepseek"]),
+    ("cortecs", "Cortecs", "Инфраструктура", ["kimi-k2-instruct"]),
+    ("frogbot", "FrogBot", "Инфраструктура", ["llama"]),
+    ("venice", "Venice AI", "Инфраструктура", ["llama", "qwen"]),
+    ("poolside", "Poolside", "Инфраструктура", ["poolside"]),
+    ("za", "Z.AI", "Инфраструктура", ["z-ai"]),
+    ("modal", "Modal", "Инфраструктура", ["endpoints"]),
+    ("302ai", "302.AI", "Инфраструктура", ["gpt", "claude", "gemini"]),
+    ("amazon", "Amazon Bedrock", "Облака и шлюзы", ["claude", "llama", "mistral"]),
+    ("azure", "Azure OpenAI", "Облака и шлюзы", ["gpt-4o", "gpt-35"]),
+    ("azure-cognitive", "Azure Cognitive Services", "Облака и шлюзы", ["openai", "phi"]),
+    ("google-vertex", "Google Vertex AI", "Облака и шлюзы", ["gemini"]),
+    ("digitalocean", "DigitalOcean", "Облака и шлюзы", ["llama", "qwen", "deepseek"]),
+    ("openrouter", "OpenRouter", "Облака и шлюзы", ["300+ моделей"]),
+    ("github-copilot", "GitHub Copilot", "Облака и шлюзы", ["gpt", "claude"]),
+    ("gitlab-duo", "GitLab Duo", "Облака и шлюзы", ["claude-haiku-4.5", "claude-sonnet-4.5", "claude-opus-4.5"]),
+    ("ollama-cloud", "Ollama Cloud", "Облака и шлюзы", ["gpt-oss-20b-cloud"]),
+    ("vercel", "Vercel AI Gateway", "Облака и шлюзы", ["gpt", "claude"]),
+    ("cloudflare", "Cloudflare AI Gateway", "Облака и шлюзы", ["gpt-4o", "claude"]),
+    ("cloudflare-ai", "Cloudflare Workers AI", "Облака и шлюзы", ["workers-ai"]),
+    ("helicone", "Helicone", "Облака и шлюзы", ["routing"]),
+    ("llm-gateway", "LLM Gateway", "Облака и шлюзы", ["gpt", "claude"]),
+    ("zenmux", "ZenMux", "Облака и шлюзы", ["routing"]),
+    ("stackit", "STACKIT", "Облака и шлюзы", ["llama"]),
+    ("ovhcloud", "OVHcloud AI Endpoints", "Облака и шлюзы", ["llama", "mistral"]),
+    ("sap", "SAP AI Core", "Облака и шлюзы", ["sap-ai"]),
+    ("snowflake", "Snowflake Cortex", "Облака и шлюзы", ["cortex"]),
+    ("scaleway", "Scaleway", "Облака и шлюзы", ["llama", "qwen"]),
+    ("opencode-zen", "OpenCode Zen", "Облака и шлюзы", ["zen"]),
+    ("ollama", "Ollama", "Локальные", ["llama-3", "mistral", "qwen-2", "gpt-oss"]),
+    ("lmstudio", "LM Studio", "Локальные", ["gemma-3n-4b", "локальные-gguf"]),
+    ("llamacpp", "llama.cpp", "Локальные", ["qwen3-coder-a3b", "gguf"]),
+    ("atomic-chat", "Atomic Chat", "Локальные", ["openapi-совместимая"]),
+    ("vllm", "vLLM", "Локальные", ["openai-совместимая"]),
+    ("localai", "LocalAI", "Локальные", ["llama", "gpt4all"]),
+    ("textgen", "oobabooga", "Локальные", ["llama", "mistral"]),
+    ("petals", "Petals", "Локальные", ["bloom-176b"]),
+]
 PROVIDER = "id string, name string, group string, models array<string>"
 BOT = "name string, platform string, commands array<string>"
 DEFAULT_COMMANDS = ("/help",)
 
 
 def provider_rows() -> list[tuple[str, str, str, list[str]]]:
-    lines = [(group, [p.strip() for p in line.split("|")]) for group, text in CATALOGUE.items() for line in text.strip().splitlines()]
-    return [(id_, name, group, models.split(", ")) for group, (id_, name, models) in lines]
+    return [*PROVIDERS]
 
 
 def providers(spark: SparkSession, group: str | None = None, query: str | None = None) -> DataFrame:
     """Providers of a group whose name, id or models contain the query; case does not count."""
-    rows = spark.createDataFrame(provider_rows(), PROVIDER)
+    rows = spark.createDataFrame(PROVIDERS, PROVIDER)
     if group and group.strip():
         rows = rows.where(F.lower("group") == group.strip().lower())
     if query and query.strip():

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.functions import text as X
-from lumensift.schema import EngineConfig
+from lumensift.schema import EngineConfig, small
 
 FIELDS = ("title", "keywords", "body")
 
@@ -38,11 +38,14 @@ class SearchIndex:
     forms: DataFrame
     doc_stats: DataFrame
     config: EngineConfig = field(default_factory=EngineConfig)
+    counted: tuple[int, float] | None = None  #: the corpus numbers of a saved index
     staged: DataFrame | None = None  #: counts by word and document, which the other tables come from
 
     @cached_property
     def corpus(self) -> tuple[int, float]:
         """Number of documents, and the mean length of their bodies (0 if there are none)."""
+        if self.counted is not None:
+            return self.counted
         row = self.doc_stats.agg(F.count("*").alias("n"), F.sum("doc_len").alias("total")).first()
         return row["n"], (row["total"] / row["n"] if row["n"] else 0.0)
 
@@ -67,13 +70,15 @@ class SearchIndex:
         """Parquet, sorted within files by what look-ups go by, so that row groups are skipped."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        n, mean = self.corpus
+        small(self.docs.sparkSession, [(n, mean)], "n bigint, mean double").write.mode("overwrite").parquet(f"{path}/corpus")
         for name in ("postings", "terms", "forms"):
             getattr(self, name).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, config: EngineConfig | None = None) -> SearchIndex:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(read("docs"), read("postings"), read("terms"), read("forms"), read("doc_stats"), config or EngineConfig())
+        return cls(read("docs"), read("postings"), read("terms"), read("forms"), read("doc_stats"), config or EngineConfig(), tuple(read("corpus").first()))
 
     def register(self, prefix: str = "") -> None:
         """Temporary views, for SQL over the index."""
@@ -83,6 +88,8 @@ class SearchIndex:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """A row for each word and document: counts by field and the first place."""
+    # dealt by document, so that all rows of a word and document are in one task already; words are not shuffled for counting
+    docs = docs.select("doc_idx", "title", "keywords_text", "content").repartition("doc_idx")
     counts = [F.count_if(F.col("field") == i).alias(f"tf_{name}") for i, name in enumerate(FIELDS)]
     return occurrences(docs).groupBy("word", "doc_idx").agg(*counts, F.min(F.struct("field", "pos")).alias("place"))
 
@@ -91,7 +98,7 @@ def build(docs: DataFrame, config: EngineConfig | None = None) -> SearchIndex:
     """Index of docs (schema.DOC). Lazy: nothing runs before a table is read."""
     config = config or EngineConfig()
     words = word_counts(docs)
-    vocabulary = words.select("word").distinct().select("word", X.stem(F.col("word"), config.lang).alias("term"))  # never empty
+    vocabulary = X.with_stem(words.select("word").distinct(), "word", "term", config.lang)  # never empty
     staged = words.join(vocabulary, "word")
     first = F.min(F.struct("doc_idx", "place.field", "place.pos")).alias("first_pos")
     postings = staged.groupBy("term", "doc_idx").agg(*(F.sum(f"tf_{name}").alias(f"tf_{name}") for name in FIELDS), F.min("place").alias("place"))
@@ -99,4 +106,4 @@ def build(docs: DataFrame, config: EngineConfig | None = None) -> SearchIndex:
     forms = staged.groupBy("term", "word").agg(first)
     lengths = staged.groupBy("doc_idx").agg(F.sum("tf_body").alias("doc_len"))
     doc_stats = docs.select("doc_idx").join(lengths, "doc_idx", "left").select("doc_idx", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
-    return SearchIndex(docs, postings, terms, forms, doc_stats, config, staged)
+    return SearchIndex(docs, postings, terms, forms, doc_stats, config, staged=staged)

@@ -20,6 +20,7 @@ from lumensift.functions import text as X
 from lumensift.functions.stopwords import STOP_WORDS
 from lumensift.operators.index import SearchIndex
 from lumensift.plans.query import ParsedQuery, parse, parsed_columns
+from lumensift.schema import small
 
 #: Neighbours of a misspelt word that are taken, and how many times as many are looked at, in the order of the index.
 NEIGHBOURS, LOOKED_AT = 3, 4
@@ -37,10 +38,11 @@ class Resolved:
 
 def nearest(index: SearchIndex, words: DataFrame, most: int, limit: int) -> DataFrame:
     """(word, term, rank) of the dictionary terms within `limit` edits of words(word), but not equal: of the first 4 * most in index
-    order the `most` nearest. words is a small table; the dictionary is scanned once and compared within a band of lengths."""
+    order the `most` nearest. The dictionary is scanned once and compared
+    within a band of lengths; no key joins words that differ, so the few asked for go to all tasks, unless Spark finds them too large for that."""
     far = F.levenshtein(F.col("word"), F.col("term"), limit)
     band = F.abs(F.char_length("word") - F.char_length("term")) <= limit
-    near = index.terms.join(F.broadcast(words.distinct()), band).select("word", "term", "first_pos", far.alias("dist")).where(F.col("dist").between(1, limit))
+    near = index.terms.join(words.distinct(), band).select("word", "term", "first_pos", far.alias("dist")).where(F.col("dist").between(1, limit))
     seen = near.withColumn("seen", F.row_number().over(Window.partitionBy("word").orderBy("first_pos"))).where(F.col("seen") <= most * LOOKED_AT)
     rank = F.row_number().over(Window.partitionBy("word").orderBy("dist", "first_pos"))
     return seen.withColumn("rank", rank).where(F.col("rank") <= most).select("word", "term", "rank")
@@ -48,20 +50,25 @@ def nearest(index: SearchIndex, words: DataFrame, most: int, limit: int) -> Data
 
 def variants(words: DataFrame, lang: str) -> DataFrame:
     """(word, kind, stem) of words(word): of the word itself (kind stem), and of what the other keyboard layouts give (ru, en) unless it is a stop word."""
-    word = F.col("word")
-    kinds = F.array(*(F.struct(F.lit(n).alias("kind"), v.alias("text")) for n, v in (("stem", word), ("ru", X.layout_ru(word)), ("en", X.layout_en(word)))))
-    rows = words.select("word", F.inline(kinds)).where("text is not null")
-    return rows.where((F.col("kind") == "stem") | ~X.is_stop_word(F.col("text"))).select("word", "kind", X.stem(F.col("text"), lang).alias("stem"))
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.when(good, text).alias("text")) for kind, text, good in _variants(F.col("word"))))
+    return words.select("word", F.inline(kinds)).where("text is not null").select("word", "kind", X.stem(F.col("text"), lang).alias("stem"))
+
+
+def _variants(word: Column) -> list[tuple[str, Column, Column]]:
+    """Kind, text and whether it counts, of a word and of what the other keyboard layouts make of it."""
+    layouts = [("ru", X.layout_ru(word)), ("en", X.layout_en(word))]
+    return [("stem", word, F.lit(True)), *((kind, text, text.isNotNull() & ~X.is_stop_word(text)) for kind, text in layouts)]
 
 
 def _stems(spark: SparkSession, index: SearchIndex, words: list[str], lang: str) -> dict[str, Row]:
     """For each lower-case word: its stem, those of its layout variants, and whether the index has them."""
     if not words:
         return {}
-    rows = spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string")
-    found: dict[str, dict[str, str]] = {w: {} for w in words}
-    for r in variants(rows, lang).collect():
-        found[r["word"]][r["kind"]] = r["stem"]
+    rows = small(spark, [(w,) for w in dict.fromkeys(words)], "word string")
+    word, found = F.col("word"), {w: {} for w in words}
+    stems = [F.when(good, X.stem(text, lang)).alias(kind) for kind, text, good in _variants(word)]
+    for r in rows.select("word", *stems).collect():  # the optimizer itself works this out; no job runs
+        found[r["word"]] = {kind: r[kind] for kind in ("stem", "ru", "en") if r[kind] is not None}
     wanted = {s for kinds in found.values() for s in kinds.values()}
     known = {r["term"] for r in index.terms.where(F.col("term").isin(*wanted)).select("term").collect()}
     return {w: Row(stem=k["stem"], exact=k["stem"] in known, layout=next((k[n] for n in ("ru", "en") if k.get(n) in known), None)) for w, k in found.items()}
@@ -76,7 +83,7 @@ def resolve(index: SearchIndex, parsed: ParsedQuery, lang: str = "auto", fuzzy:
     near: dict[str, list[str]] = {}
     lost = {known[w]["stem"] for w in asked if not known[w]["exact"]}
     if fuzzy and lost:
-        rows = nearest(index, spark.createDataFrame([(w,) for w in sorted(lost)], "word string"), NEIGHBOURS, index.config.levenshtein_limit)
+        rows = nearest(index, small(spark, [(w,) for w in sorted(lost)], "word string"), NEIGHBOURS, index.config.levenshtein_limit)
         for r in sorted(rows.collect(), key=lambda r: (r["word"], r["rank"])):
             near.setdefault(r["word"], []).append(r["term"])
     terms: dict[str, None] = {}
@@ -108,10 +115,16 @@ def bm25(index: SearchIndex) -> Column:
     return score
 
 
-def scored_postings(index: SearchIndex, wanted: DataFrame) -> DataFrame:
-    """wanted(term, ...) joined to its postings, with score. wanted is a small table, so postings are not shuffled."""
-    rows = index.postings.join(F.broadcast(wanted), "term").join(index.terms.select("term", "df"), "term")
-    return rows.join(index.doc_stats, "doc_idx").withColumn("score", bm25(index))
+def scored_postings(index: SearchIndex, wanted: DataFrame, terms: tuple[str, ...] = ()) -> DataFrame:
+    """wanted(term, ...) joined to its postings, with score. `terms`, if the caller knows them, prune the scans of postings and terms;
+    then wanted is as small as the query and is broadcast, else Spark decides by its size."""
+    postings, known = index.postings, index.terms.select("term", "df")
+    if terms:
+        postings, known = (rows.where(F.col("term").isin(*terms)) for rows in (postings, known))
+        wanted = F.broadcast(wanted.join(F.broadcast(known), "term"))
+    else:
+        wanted = known.join(wanted, "term")
+    return postings.join(wanted, "term").join(index.doc_stats, "doc_idx").withColumn("score", bm25(index))
 
 
 def total_in_order(order: str = "ord") -> Column:
@@ -124,8 +137,8 @@ def candidates(index: SearchIndex, resolved: Resolved) -> DataFrame:
     """(doc_idx, score) of documents that have all terms; of all documents, with score 0, if there are no terms."""
     spark = index.terms.sparkSession
     if resolved.terms:
-        wanted = spark.createDataFrame([(t, i) for i, t in enumerate(resolved.terms)], "term string, ord int")
-        rows = scored_postings(index, wanted).groupBy("doc_idx").agg(F.count("*").alias("n"), total_in_order().alias("score"))
+        wanted = small(spark, [(t, i) for i, t in enumerate(resolved.terms)], "term string, ord int")
+        rows = scored_postings(index, wanted, resolved.terms).groupBy("doc_idx").agg(F.count("*").alias("n"), total_in_order().alias("score"))
         found = rows.where(F.col("n") == len(resolved.terms)).select("doc_idx", "score")
     else:
         found = index.docs.select("doc_idx", F.lit(0.0).alias("score"))
@@ -217,7 +230,7 @@ def resolve_batch(index: SearchIndex, queries: DataFrame, lang: str = "auto") ->
 
 
 def search_batch(index: SearchIndex, queries: DataFrame, limit: int | None = None, lang: str = "auto") -> DataFrame:
-    """(query_id, rank, doc_idx, id, score) for a table of queries(query_id, query), a stated and therefore broadcast set.
+    """(query_id, rank, doc_idx, id, score) for a table of queries(query_id, query), which Spark broadcasts if its size allows.
 
     Plain, required and excluded words, category, tags and phrase count. A query without any term gives its filtered documents in their order."""
     limit = index.config.limit if limit is None else limit
@@ -229,15 +242,15 @@ def search_batch(index: SearchIndex, queries: DataFrame, limit: int | None = Non
     parsed = queries.select("query_id", F.trim("query").alias("query"), *(c.alias(n) for n, c in columns.items())).where("query != ''")
     without = parsed.join(terms.select("query_id").distinct(), "query_id", "left_anti")
     docs = index.docs.select("doc_idx", "title", "content", F.lower(F.coalesce("category", F.lit(""))).alias("doc_category"), F.transform(F.coalesce("tags", F.array()), F.lower).alias("doc_tags"))
-    all_docs = docs.select("doc_idx").join(F.broadcast(without.select("query_id")), F.lit(True)).select("query_id", "doc_idx", F.lit(0.0).alias("score"))
+    all_docs = docs.select("doc_idx").crossJoin(without.select("query_id")).select("query_id", "doc_idx", F.lit(0.0).alias("score"))  # such a query means every document
     found = found.union(all_docs)
     barred = parsed.select("query_id", F.explode("excluded").alias("word")).select("query_id", F.lower("word").alias("word")).where(~X.is_stop_word(F.col("word")))
-    barred = index.postings.join(F.broadcast(barred.select("query_id", X.stem(F.col("word"), lang).alias("term"))), "term").select("query_id", "doc_idx")
+    barred = index.postings.join(barred.select("query_id", X.stem(F.col("word"), lang).alias("term")), "term").select("query_id", "doc_idx")
     found = found.join(barred, ["query_id", "doc_idx"], "left_anti")
     filters = parsed.select("query_id", "phrase", F.col("category").alias("wanted"), F.col("tags").alias("any_of"))
     hay = F.lower(F.concat("title", F.lit(" "), "content"))
     good = (F.coalesce("wanted", F.lit("")).isin("") | (F.col("wanted") == F.col("doc_category"))) & ((F.size("any_of") == 0) | F.arrays_overlap("doc_tags", "any_of")) & (F.coalesce("phrase", F.lit("")).isin("") | F.contains(hay, F.lower("phrase")))
-    filtered = found.join(F.broadcast(filters), "query_id")
+    filtered = found.join(filters, "query_id")
     plain = filtered.where("wanted is null and size(any_of) = 0 and phrase is null").select("query_id", "doc_idx", "score")
     tested = filtered.where("not (wanted is null and size(any_of) = 0 and phrase is null)").join(docs, "doc_idx").where(good).select("query_id", "doc_idx", "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_idx"))

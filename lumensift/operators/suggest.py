@@ -49,11 +49,11 @@ def did_you_mean(result: SearchResult, lang: str = "auto") -> str | None:
     stems = {w: r["stem"] for w, r in _stems(spark, index, [raw.lower() for raw in asked], lang).items()}
     rows = spark.createDataFrame([(s,) for s in dict.fromkeys(stems.values())], "word string")
     near = {r["word"]: r["term"] for r in nearest(index, rows, 1, index.config.levenshtein_limit).collect()}
-    for raw in asked:
-        term = near.get(stems[raw.lower()])
-        if term and parsed.phrase:
-            return SAID.format(parsed.phrase.replace(raw.lower(), term, 1))
-        if term:
-            put = lambda w: term if w == raw else w  # noqa: B023, E731
-            return SAID.format(" ".join([*map(put, parsed.words), *(f"+{put(w)}" for w in parsed.required)]))
-    return None
+    found = [(raw, near[stems[raw.lower()]]) for raw in asked if stems[raw.lower()] in near]
+    if not found:
+        return None
+    wrong, right = found[0]
+    if parsed.phrase:
+        return SAID.format(parsed.phrase.replace(wrong.lower(), right, 1))
+    shown = [(w, "") for w in parsed.words] + [(w, "+") for w in parsed.required]
+    return SAID.format(" ".join(sign + (right if w == wrong else w) for w, sign in shown))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -30,23 +32,25 @@ class ParsedQuery:
     tags: list[str] = field(default_factory=list)
 
 
+#: What a part is by its sign, and what becomes of the rest of it.
+SIGNS: dict[str, tuple[str, Callable[[str], str]]] = {"+": ("required", str), "-": ("excluded", str), "@": ("categories", str.lower), "#": ("tags", str.lower)}
+_KIND = re.compile(rf'"(?P<phrase>.+)"|(?P<sign>[{re.escape("".join(SIGNS))}])(?P<rest>.+)|(?P<word>.+)', re.DOTALL)
+
+
+def _kind(part: str) -> tuple[str, str]:
+    m = _KIND.fullmatch(part)
+    if m["sign"]:
+        kind, change = SIGNS[m["sign"]]
+        return kind, change(m["rest"])
+    return ("phrases", m["phrase"].strip()) if m["phrase"] is not None else ("words", m["word"])
+
+
 def parse(raw: str) -> ParsedQuery:
-    out = ParsedQuery()
-    for part in _PARTS.findall(unicodedata.normalize("NFKC", raw)):
-        sign, rest = part[0], part[1:]
-        if sign == '"' and rest.endswith('"') and len(rest) > 1:
-            out.phrase = rest[:-1].strip()
-        elif sign == "+" and rest:
-            out.required.append(rest)
-        elif sign == "-" and rest:
-            out.excluded.append(rest)
-        elif sign == "@" and rest:
-            out.category = rest.lower()
-        elif sign == "#" and rest:
-            out.tags.append(rest.lower())
-        else:
-            out.words.append(part)
-    return out
+    by: dict[str, list[str]] = defaultdict(list)
+    for kind, value in map(_kind, _PARTS.findall(unicodedata.normalize("NFKC", raw))):
+        by[kind].append(value)
+    last = lambda kind: by[kind][-1] if by[kind] else None
+    return ParsedQuery(by["required"], by["excluded"], by["words"], last("phrases"), last("categories"), by["tags"])
 
 
 def parsed_columns(query: Column) -> dict[str, Column]:
@@ -60,7 +64,7 @@ def parsed_columns(query: Column) -> dict[str, Column]:
         return p.startswith('"') & p.endswith('"') & (F.char_length(p) > 2)
 
     def is_plain(p: Column) -> Column:
-        return ~is_phrase(p) & ~(F.left(p, F.lit(1)).isin("+", "-", "@", "#") & (F.char_length(p) > 1))
+        return ~is_phrase(p) & ~(F.left(p, F.lit(1)).isin(*SIGNS) & (F.char_length(p) > 1))
 
     phrases = F.transform(F.filter(parts, is_phrase), lambda p: F.trim(F.substring(p, F.lit(2), F.char_length(p) - 2)))
     lowered = lambda sign: F.transform(signed(sign), F.lower)

@@ -6,16 +6,18 @@ import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.functions import text as X
 from lumensift.operators import catalog, facets, rag
-from lumensift.operators.highlight import with_fragments
+from lumensift.operators.highlight import fragments, with_fragments
 from lumensift.operators.index import SearchIndex, build, occurrences
 from lumensift.operators.search import rounded, search, search_batch
 from lumensift.operators.suggest import did_you_mean, merged_suggestions, suggest
 from lumensift.plans.query import parsed_columns
+from lumensift.schema import small
 from lumensift.sources import corpora
 from lumensift.sources.state import Store
 from lumensift.streaming import learner
@@ -28,6 +30,16 @@ _INDEXES: dict[tuple, SearchIndex] = {}
 RAW_QUERIES = ("+alpha -beta gamma", '"x y" "z"', "@One @Two t", "#A #b", '+ - @ # ""', '"  "', 'Docker, "Exact Phrase" +Must -not @Cat #T1 #T2 rest', "   ")
 TYPED = ("ghbdtn", "yfgbcfk", "цшвпуе", "щкфтпу", "abc1", "слово", "don't", "a[b", "Ghbdtn", "x")
 BOTS = ((0, " helper ", "telegram", ["/start", " /help ", "/start", ""]), (1, "", "telegram", ["/x"]), (2, "notes", "web", []), (3, "helper", "web", ["/new"]), (4, "  ", "web", ["/y"]))
+RUSSIAN = ("контейнер", "контейнеры", "поиска", "поисковый", "новость", "Новость", "процесс", "данных")
+UNSTABLE = ("Docker-Compose the ﬁne x_y ½ ＡＢ --", "ｓｅａｒｃｈ №5 x²", "plain words", "")
+SNIPPETS = (
+    (1, "search engine ranks docker pages", ["docker"]),
+    (2, "alpha beta gamma", ["beta", "alpha"]),
+    (3, "x" * 30 + " cat " + "y" * 60 + " dog " + "z" * 30, ["cat", "dog"]),
+    (4, "x" * 30 + " CAT " + "y" * 60, ["bird", "cat"]),
+    (5, "w" * 50, ["none"]),
+    (6, "w" * 50, []),
+)
 BATCH = ((1, "thing erble"), (2, "ering"), (3, "thing -ering"), (4, "nicht"), (5, "thing @en"), (6, "erble #src1 #src2"), (7, "+thing the"))
 
 
@@ -69,7 +81,18 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def vocab_stem_en(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = occurrences(corpora.documents(spark, sf_dir)).select("word").distinct()
-    return words.select("word", X.stem(F.col("word")).alias("stem"))
+    return X.with_stem(words, "word", "stem")
+
+
+@query
+def stem_ru_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small(spark, [(w,) for w in RUSSIAN], "word string").select("word", X.stem(F.col("word")).alias("stem"), X.detect_lang(F.col("word")).alias("lang"), X.has_cyrillic(F.col("word")).alias("cyrillic"))
+
+
+@query
+def nfkc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of texts that normalisation changes."""
+    return small(spark, [*enumerate(UNSTABLE)], "n bigint, text string").select("n", F.array_join(X.raw_words(F.col("text")), "|").alias("words"))
 
 
 @query
@@ -163,7 +186,7 @@ def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def search_batch_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = spark.createDataFrame(BATCH, "query_id bigint, query string")
+    queries = small(spark, BATCH, "query_id bigint, query string")
     return search_batch(_documents(spark, sf_dir), queries, limit=10).select("query_id", "rank", "id", "score")
 
 
@@ -177,7 +200,7 @@ def parse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parse_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user'")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     columns = parsed_columns(F.col("text"))
     return rows.select("conv_id", "turn", *(F.size(columns[n]).cast("bigint").alias(f"n_{n}") for n in ("required", "excluded", "words", "tags")))
 
@@ -208,6 +231,13 @@ def highlight_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rank", "id", F.array_join("fragments", "|").alias("fragments"))
 
 
+@query
+def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets of several forms: ranges that unite, ranges apart, and no match."""
+    cut = F.pandas_udf(lambda text, forms: pd.Series(["|".join(fragments(t, list(f))) for t, f in zip(text, forms, strict=True)], dtype=object), "string")
+    return small(spark, SNIPPETS, "n bigint, text string, forms array<string>").select("n", cut("text", "forms").alias("fragments"))
+
+
 @query
 def highlight_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_fragments(search(_documents(spark, sf_dir), "thing erble"))
@@ -301,6 +331,8 @@ def _folder(spark: SparkSession) -> str:
     """A new folder that all executors reach: in the shared checkpoint folder, or a temporary one where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         return Path(tempfile.mkdtemp(prefix="lumensift")).as_uri()
     return f"{shared.rstrip('/')}/{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
 
@@ -330,7 +362,7 @@ def rag_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def layout_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(w,) for w in TYPED], "word string")
+    rows = small(spark, [(w,) for w in TYPED], "word string")
     return rows.select("word", X.layout_ru(F.col("word")).alias("ru"), X.layout_en(F.col("word")).alias("en"))
 
 

@@ -8,7 +8,10 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A corpus row as engines hold it. keywords_text is what is indexed; doc_idx orders the corpus and breaks ties.
 DOC = T.StructType([
@@ -102,3 +105,11 @@ def read_dotenv(path: str | None) -> dict[str, str]:
             if equals and not name.startswith("#"):
                 found.setdefault(name.strip(), value.strip())
     return found
+
+
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table that the plan itself holds, so that no task makes or fetches them."""
+    kind = T._parse_datatype_string(schema)
+    columns = [*zip(*rows, strict=True)] or [[] for _ in kind.fields]
+    table = pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, kind.fields, strict=True)], names=kind.names)
+    return spark.createDataFrame(table)

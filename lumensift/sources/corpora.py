@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumensift.schema import DOC
+from lumensift.sources.state import put
 
 #: A document as datasets have it. keywords is an array or a string, so it is read as the JSON text that it is.
 RAW = "id string, title string, content string, keywords string, tags array<string>, category string, link string"
@@ -51,9 +52,20 @@ def read_lines(spark: SparkSession, path: str, order: str = "id") -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """doc_idx from 0 by `order`, without one task that sees all rows: places within ranges plus the sizes of earlier ranges."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("doc_idx", F.monotonically_increasing_id())
-    return ranged
+    """doc_idx from 0 by `order`, without one task that sees all rows: places within ranges plus the sizes of earlier ranges. The ranges are
+    written to the checkpoint folder (or kept, where there is none), so that the numbers do not change when rows are read again."""
+    placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id())
+    ranged = placed.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+    part = F.shiftright("at", 33)
+    sizes = {r["part"]: r["n"] for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
+    before, first = {}, 0
+    for p in sorted(sizes):
+        before[p] = first
+        first += sizes[p]
+    if not before:
+        return ranged.withColumnRenamed("at", "doc_idx")
+    starts = F.create_map(*(F.lit(x).cast("long") for pair in before.items() for x in pair))
+    return ranged.withColumn("doc_idx", F.element_at(starts, part.cast("long")) + F.col("at").bitwiseAND((1 << 33) - 1)).drop("at")
 
 
 def from_objects(spark: SparkSession, documents: object) -> DataFrame:
@@ -86,14 +98,7 @@ def write_dataset(docs: DataFrame, path: str) -> None:
     """JSON lines in a folder, written aside and renamed; an earlier one is kept beside it as <path>.previous."""
     spark = docs.sparkSession
     docs.select(*OUT).write.mode("overwrite").json(f"{path}.new")
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs
-    at = files.Path(path)
-    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    before = files.Path(f"{path}.previous")
-    if system.exists(at):
-        system.delete(before, True)
-        system.rename(at, before)
-    system.rename(files.Path(f"{path}.new"), at)
+    put(spark, f"{path}.new", path, keep=f"{path}.previous")
 
 
 # --- Tables ------------------------------------------------------------------------------------------------------------

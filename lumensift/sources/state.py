@@ -1,7 +1,7 @@
 """State of learning: how often each query was asked, with snapshots to go back to.
 
-Tables go to folders that every executor reaches, through Spark and the Hadoop file system. A table is written aside and renamed, so
-that a reader never sees half of one.
+Tables go to folders that every executor reaches, through Spark and the Hadoop file system. A table is written aside, the one before is moved
+away, and the new one moved in, so that no moment has neither on disk, and a reader never sees half of one.
 """
 
 from __future__ import annotations
@@ -9,13 +9,29 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES = "query string, n bigint"
 
 
+def put(spark: SparkSession, aside: str, path: str, keep: str | None = None) -> None:
+    """Puts a finished folder in the place of another, which goes (to `keep`, if given) only when the new one is there. An error if a step fails."""
+    files, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    new, to, old = files.Path(aside), files.Path(path), files.Path(keep or f"{path.rstrip('/')}.old")
+    system = to.getFileSystem(conf)
+    system.mkdirs(to.getParent())
+    system.delete(old, True)
+    if system.exists(to) and not system.rename(to, old):
+        raise OSError(f"{path} cannot be moved aside")
+    if not system.rename(new, to):
+        raise OSError(f"{aside} cannot be moved to {path}")
+    if not keep:
+        system.delete(old, True)
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
@@ -35,19 +51,25 @@ class Store:
     def _write(self, queries: DataFrame, path: str) -> None:
         aside = f"{path.rstrip('/')}.new"
         queries.select("query", F.col("n").cast("bigint").alias("n"), F.current_timestamp().alias("saved_at")).write.mode("overwrite").parquet(aside)
-        system, to = self._files(path)
-        system.delete(to, True)
-        system.mkdirs(to.getParent())
-        system.rename(self._files(aside)[1], to)
+        put(self.spark, aside, path)
 
     def _read(self, path: str) -> DataFrame:
+        system, at = self._files(path)
+        if not system.exists(at) and path == self.path and system.exists(self._files(f"{path}.old")[1]):
+            path = f"{path}.old"  # the writer stopped between its two moves
         return self.spark.read.parquet(path).select("query", "n")
 
+    def clear(self) -> bool:
+        """Forgets all queries; snapshots stay."""
+        return self.save(self.spark.createDataFrame([], QUERIES))
+
     def load(self) -> DataFrame:
         """(query, n); no rows if there is no state, or none that can be read."""
         try:
-            return self._read(self.path)
-        except AnalysisException:
+            state = self._read(self.path)
+            state.limit(1).collect()  # a file that cannot be read says so only now
+            return state
+        except (PySparkException, Py4JJavaError):
             return self.spark.createDataFrame([], QUERIES)
 
     def save(self, queries: DataFrame) -> bool:

@@ -9,9 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from lumensift.sources.state import Store
 
 
-def normal(queries: DataFrame, column: str = "query") -> DataFrame:
-    """Trimmed lower-case queries; empty ones go."""
-    return queries.select(F.lower(F.trim(column)).alias("query")).where("query != ''")
+def normal(queries: DataFrame, column: str = "query", *more: str) -> DataFrame:
+    """Trimmed lower-case queries, with further columns; empty ones go."""
+    return queries.select(F.lower(F.trim(column)).alias("query"), *more).where("query != ''")
 
 
 def remember(queries: DataFrame, column: str = "query") -> DataFrame:

@@ -19,6 +19,14 @@ def test_stems(spark):
     assert [(r["word"], r["stem"]) for r in rows] == [(w, s) for w, s in pairs]
 
 
+def test_stems_of_many_words(spark):
+    """with_stem() and stem() agree, in each language."""
+    words = [(w,) for p in STEMS.replace("\n", " ").split(",") for w in p.split()] + [("",), ("Ёлки",), ("mixédСлово",), ("Running",), ("is",)]
+    rows = spark.createDataFrame(words, "word string")
+    for lang in ("auto", "ru", "en"):
+        assert all(r["one"] == r["many"] for r in X.with_stem(rows, "word", "many", lang).withColumn("one", X.stem(F.col("word"), lang)).collect())
+
+
 def test_stem_of_the_other_language(spark):
     rows = spark.createDataFrame([("containers",), ("новость",)], "w string").select(X.stem(F.col("w"), "ru").alias("ru"), X.stem(F.col("w"), "en").alias("en")).collect()
     assert [tuple(r) for r in rows] == [("containers", "contain"), ("нов", "новость")]
