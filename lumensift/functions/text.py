@@ -34,9 +34,21 @@ def nfkc(text: Column) -> Column:
     return F.when(unstable, _nfkc(F.when(unstable, text))).otherwise(text)
 
 
+def normalised(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with nfkc() of some columns. Rows that it cannot change take a branch of their own, which no Python worker sees."""
+    odd = F.coalesce(F.concat_ws(" ", *columns).rlike(UNSTABLE), F.lit(False))
+    return rows.where(~odd).unionAll(rows.where(odd).withColumns({c: nfkc(F.col(c)) for c in columns}))
+
+
+def words_of(text: Column) -> Column:
+    """All words of a normalised text, in lower case, stop words included. In lower case, İ alone is more than a letter."""
+    found = lambda t: F.regexp_extract_all(t, F.lit(WORD), 0)
+    return F.when(F.contains(text, F.lit("İ")), F.transform(found(text), F.lower)).otherwise(found(F.lower(text)))
+
+
 def raw_words(text: Column) -> Column:
     """All words of a text, in lower case, stop words included."""
-    return F.transform(F.regexp_extract_all(nfkc(text), F.lit(WORD), 0), F.lower)
+    return words_of(nfkc(text))
 
 
 def is_stop_word(word: Column) -> Column:

@@ -22,11 +22,14 @@ from lumensift.schema import EngineConfig, small
 FIELDS = ("title", "keywords", "body")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_idx, field, pos, word) of each indexed word. field: 0 title, 1 keywords, 2 body; pos counts all words of the field."""
+def occurrences(docs: DataFrame, together: bool = False) -> DataFrame:
+    """(doc_idx, field, pos, word) of each indexed word. field: 0 title, 1 keywords, 2 body; pos counts all words of the field. together: dealt by
+    document, so that all rows of a document are in one task."""
+    docs = X.normalised(docs.select("doc_idx", "title", "keywords_text", "content"), "title", "keywords_text", "content")
+    docs = docs.repartition("doc_idx") if together else docs
     texts = F.array(F.coalesce("title", F.lit("")), F.coalesce("keywords_text", F.lit("")), F.coalesce("content", F.lit("")))
     fields = docs.select("doc_idx", F.posexplode(texts).alias("field", "text"))
-    found = fields.select("doc_idx", "field", F.posexplode(X.raw_words(F.col("text"))).alias("pos", "word"))
+    found = fields.select("doc_idx", "field", F.posexplode(X.words_of(F.col("text"))).alias("pos", "word"))
     return found.where(~X.is_stop_word(F.col("word")))
 
 
@@ -88,10 +91,8 @@ class SearchIndex:
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """A row for each word and document: counts by field and the first place."""
-    # dealt by document, so that all rows of a word and document are in one task already; words are not shuffled for counting
-    docs = docs.select("doc_idx", "title", "keywords_text", "content").repartition("doc_idx")
     counts = [F.count_if(F.col("field") == i).alias(f"tf_{name}") for i, name in enumerate(FIELDS)]
-    return occurrences(docs).groupBy("word", "doc_idx").agg(*counts, F.min(F.struct("field", "pos")).alias("place"))
+    return occurrences(docs, together=True).groupBy("word", "doc_idx").agg(*counts, F.min(F.struct("field", "pos")).alias("place"))
 
 
 def build(docs: DataFrame, config: EngineConfig | None = None) -> SearchIndex:

@@ -73,7 +73,7 @@ def _hits(index: SearchIndex, text: str, **options: object) -> DataFrame:
 
 @query
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = corpora.documents(spark, sf_dir).select("doc_idx", X.raw_words(F.col("content")).alias("raw"))
+    words = X.normalised(corpora.documents(spark, sf_dir).select("doc_idx", "content"), "content").select("doc_idx", X.words_of(F.col("content")).alias("raw"))
     kept = words.select("doc_idx", "raw", F.filter("raw", lambda w: ~X.is_stop_word(w)).alias("kept"))
     return kept.select("doc_idx", F.size("raw").cast("bigint").alias("n_raw"), F.size("kept").cast("bigint").alias("n_words"), F.size(F.array_distinct("kept")).cast("bigint").alias("n_distinct"))
 

@@ -49,3 +49,33 @@ def test_layouts(spark):
 def test_detect_lang(spark):
     rows = spark.createDataFrame([("Привет abc",), ("abcdef при",), ("123",)], "t string").select(X.detect_lang(F.col("t")).alias("l")).collect()
     assert [r["l"] for r in rows] == ["ru", "en", "en"]
+
+
+def test_normalised_rows(spark):
+    texts = ["plain words", "Docker-Compose the ﬁne ½", None, "", "İx ΑΣ", "é"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string")
+    both = X.normalised(rows, "t").select("n", X.words_of(F.col("t")).alias("w")).join(rows.select("n", X.raw_words(F.col("t")).alias("v")), "n").collect()
+    assert len(both) == len(texts) and all(r["w"] == r["v"] for r in both)
+    assert next(r["w"] for r in both if r["n"] == 4) == ["i̇x", "ας"]
+
+
+def test_counting_words_does_not_shuffle_them(spark):
+    from lumensift.operators.index import word_counts
+
+    docs = spark.createDataFrame([(1, "a", "b", "c d")], "doc_idx long, title string, keywords_text string, content string")
+    plan = word_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_saved_look_ups_are_pruned(spark, tmp_path):
+    from lumensift.operators.index import SearchIndex, build
+    from lumensift.operators.search import search
+    from lumensift.sources import corpora
+
+    docs = spark.createDataFrame([(0, "a", "Docker intro", "Docker packs apps", None, None, "devops", "infra", None)], "doc_idx long, id string, title string, content string, keywords array<string>, tags array<string>, keywords_text string, category string, link string").select(*[f.name for f in corpora.DOC.fields])
+    build(docs).save(tmp_path.as_uri())
+    index = SearchIndex.load(spark, tmp_path.as_uri())
+    result = search(index, "docker")
+    plan = result.ranked._jdf.queryExecution().toString()
+    assert plan.count("EqualTo(term,docker)") + plan.count("In(term") >= 2 and index.counted == (1, 3.0)
+    assert [r["id"] for r in result.hits.collect()] == ["a"]
