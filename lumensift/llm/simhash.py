@@ -11,8 +11,8 @@ are reduced to a spanning forest at once, so what leaves a task grows with its r
 many different fingerprints is divided again by further segments (exactly: by the pigeonhole principle), never capped.
 
 deduplicated() seeks near copies as five-word shingles define them: each text has six fingerprints of its different words, which
-near copies share more of than of their shingles; whose fingerprints are near by any seed is a candidate, and candidates are held to
-the Jaccard similarity of their shingles. 64 bits of SHA-256 stand for a text, 64-bit hashes for its shingles.
+near copies share more of than of their shingles; whose fingerprints are near by any seed is a candidate, and all texts that candidates join
+are held to the Jaccard similarity of their shingles. 64 bits of SHA-256 stand for a text, 64-bit hashes for its shingles.
 
 Null text: no words, fingerprint zero, linked like any other. Null doc_id: has a fingerprint, and is the component_id only of
 a component without other ids. Repeated rows have equal fingerprints. Fewer than three words: the whole sequence is the one shingle.
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from lumensift.llm.common import checkpointed, map_blocks, partitions, quoted, texts
 from lumensift.llm.components import components
 from lumensift.llm.numbered import within
+from lumensift.llm.overlap import overlaps
 
 SEED = 42
 #: Fixed value: words are runs of anything but these white-space characters.
@@ -264,10 +265,10 @@ def _candidate_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[
 
 
 def similar_links(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, seeds: int = SEEDS, limit: int = 3) -> DataFrame:
-    """Links (a, b) between the nodes of different texts whose sets of word shingles have a Jaccard similarity of `similar` or more.
+    """Links (a, b) between the nodes of different texts, which join what a Jaccard similarity of `similar` or more of the sets of word shingles joins.
 
-    Candidates are pairs of which, by one seed at least, the fingerprints of the different words differ in `limit` bits at most, found by
-    pigeonring filtering; each is held to the shingles themselves."""
+    Candidates are found by pigeonring filtering: texts of which, by one seed at least, the fingerprints of the different words differ in `limit`
+    bits at most. All texts that candidates join, directly or by others, are then held to each other's shingles."""
     rows = docs.select(_node(F.col("text")).alias("node"), "text")
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,14 +289,12 @@ def similar_links(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMI
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets_ = [shingles(t.as_buffer().to_pybytes(), shingle).view(np.int64) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets_, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = checkpointed(rows.join(wanted, "node", "left_semi").mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"]))
-    pairs = links.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.where((both > 0) & (both >= similar * (F.size("x") + F.size("y") - both))).select("a", "b")
+            elements = [shingles(t.as_buffer().to_pybytes(), shingle).view(np.int64) for t in batch.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(elements, pa.list_(pa.int64()))], ["root", "node", "elements"])
+
+    met = rows.join(components(links), "node").select("root", "node", "text")
+    found = checkpointed(met.mapInArrow(sets, "root long, node long, elements array<long>").dropDuplicates(["node"]))
+    return overlaps(found, similar)
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, seeds: int = SEEDS, limit: int = 3) -> DataFrame:

@@ -12,6 +12,7 @@ import pytest
 import corpus_pipeline
 from lumensift.llm import secrets, simhash
 from lumensift.llm.common import written
+from lumensift.llm.overlap import overlaps
 from tests.llm.test_operators import plain_repeats
 
 
@@ -85,7 +86,48 @@ def test_a_large_group_of_near_copies(spark):
             copy[rng.randrange(200)] = f"changed{n}"
         rows.append((n, " ".join(copy)))
     kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert 0 in kept and len(kept) <= 0.02 * len(rows)
+    assert kept == alone(rows)
+
+
+def alone(rows):
+    """The doc_ids that stay if all pairs are looked at."""
+    sets, root = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if root[a] != root[b]:
+                both = len(sets[a] & sets[b])
+                if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                    low, high = sorted((root[a], root[b]))
+                    root = [low if r == high else r for r in root]
+    return {rows[r][0] for r in root}
+
+
+@pytest.mark.parametrize("block", [10**6, 700])
+def test_overlaps_in_parts(spark, block):
+    """Sets that lie near the limit, in groups that are one part or many, against all pairs."""
+    rng = random.Random(8)
+    rows = []
+    for group in range(4):
+        base = [rng.randrange(1 << 40) for _ in range(40)]
+        for n in range(60):
+            kept = set(rng.sample(base, rng.randint(30, 40))) | {rng.randrange(1 << 40) for _ in range(rng.randint(0, 4))}
+            rows.append((group, len(rows), sorted(kept)))
+    rows += [(9, 1000, []), (9, 1001, []), (10, 1002, [7])]
+    frame = spark.createDataFrame(rows, "root long, node long, elements array<long>")
+    links = [(r["a"], r["b"]) for r in overlaps(frame, 0.8, block).collect()]
+    sets = {n: set(e) for _, n, e in rows}
+    similar = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    assert all(similar(a, b) for a, b in links)
+
+    def joined(pairs):
+        root = {n: n for n in sets}
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = {n: low if r == high else r for n, r in root.items()}
+        return root
+
+    ids = [(g, n) for g, n, e in rows if e]
+    assert joined(links) == joined((a, b) for g, a in ids for h, b in ids if g == h and a < b and similar(a, b))
 
 
 
