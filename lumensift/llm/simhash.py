@@ -245,8 +245,7 @@ def _node(text: Column) -> Column:
 
 
 def _candidate_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of a partition that holds each of its keys whole: nodes of one fingerprint are linked to the first of them, and these
-    firsts as _links() links their fingerprints."""
+    """Links (a, b) of a partition that holds each of its keys whole: nodes are joined whose fingerprints under a key are equal, or linked as _links() links them."""
     held = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int32()), ("fp", pa.int64()), ("node", pa.int64())]))
     key, fp, node = (held[c].to_numpy() for c in held.column_names)
     order = np.lexsort((node, fp, key))
@@ -259,9 +258,26 @@ def _candidate_links(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[
     x, y = close(key[first], fp[first].view(np.uint64), limit)
     found_a.append(node[first[x]])
     found_b.append(node[first[y]])
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    a, b = least_links(np.concatenate(found_a), np.concatenate(found_b))
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def least_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One link for each node of the links but the least of its component, to that least one: what many keys have in common then comes out alike."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
 
 
 def similar_links(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, seeds: int = SEEDS, limit: int = 3) -> DataFrame:

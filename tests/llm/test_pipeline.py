@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -131,6 +132,18 @@ def test_overlaps_in_parts(spark, block):
 
 
 
+def test_least_links():
+    rng = random.Random(3)
+    for _ in range(50):
+        links = [(rng.randrange(30) * 7 - 100, rng.randrange(30) * 7 - 100) for _ in range(rng.randint(0, 30))]
+        root = {n: n for link in links for n in link}
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = {n: low if r == high else r for n, r in root.items()}
+        a, b = simhash.least_links(*(np.array([x[k] for x in links], np.int64) for k in (0, 1)))
+        assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {n: r for n, r in root.items() if n != r}
+
+
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
