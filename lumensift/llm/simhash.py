@@ -301,7 +301,7 @@ def similar_links(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMI
 
     known = rows.mapInArrow(prints, "node long, fps array<long>").dropDuplicates(["node"])
     keyed = known.mapInArrow(keys, "key int, fp long, node long").repartition(partitions(docs), "key")
-    links = checkpointed(keyed.mapInArrow(lambda batches: _candidate_links(batches, limit), "a long, b long").distinct())
+    links = keyed.mapInArrow(lambda batches: _candidate_links(batches, limit), "a long, b long")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
