@@ -368,8 +368,15 @@ def layout_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = _parts(spark, sf_dir).terms.select("term")
-    pairs = terms.select(F.col("term").alias("a")).join(terms.select(F.col("term").alias("b")), F.expr("a < b and abs(char_length(a) - char_length(b)) <= 2"))
+    """Pairs of terms within distance 2. Of three parts of the shorter one, one is in the other, at most two places off; so candidates share a part, and no pair else is formed."""
+    terms = _parts(spark, sf_dir).terms.select("term", F.char_length("term").alias("n"))
+    edge = lambda n, k: F.floor(n * k / 3).cast("int")
+    parts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.expr("term").substr(edge(F.col("n"), k) + 1, edge(F.col("n"), k + 1) - edge(F.col("n"), k)).alias("part")) for k in range(3))))
+    short = terms.select(F.col("term").alias("x"), "n", parts.alias("p")).select("x", "n", "p.*")
+    places = terms.select(F.col("term").alias("y"), F.col("n").alias("m"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - 2), F.col("n"))).alias("n"), F.array(*map(F.lit, range(3))).alias("ks")).withColumn("k", F.explode("ks"))
+    places = places.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), edge(F.col("n"), F.col("k")) - 2), edge(F.col("n"), F.col("k")) + 2)))
+    places = places.select("y", "n", "k", F.col("y").substr(F.col("at") + 1, edge(F.col("n"), F.col("k") + 1) - edge(F.col("n"), F.col("k"))).alias("part")).distinct()
+    pairs = short.join(places, ["n", "k", "part"]).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.select("a", "b", F.levenshtein("a", "b", 2).cast("bigint").alias("distance")).where("distance >= 0")
 
 
