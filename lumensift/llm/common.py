@@ -100,7 +100,11 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    """A path in the shared folder. What is still there when the driver ends is deleted then."""
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def removed(spark: SparkSession, path: str) -> None:

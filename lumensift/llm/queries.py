@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumensift.llm import media, packing, piece_dropout, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_counts, toxicity
+from lumensift.llm import media, packing, piece_dropout, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_alignment, token_counts, toxicity
 from lumensift.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_token_counts,
     op2_suffix_dedup,
@@ -62,6 +66,7 @@ _ALL = (
     op8_piece_dropout,
     op9_secrets,
     op10_media,
+    op11_token_alignment,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
