@@ -38,7 +38,7 @@ from lumensift.llm.piece_dropout import SPACE, PieceModel, default_model
 from lumensift.llm.token_counts import PieceCounter, default_tokenizer
 
 #: Bytes of text of a block, and of those split together; segments aligned together; segments composed together; links of a group that are written out one by one.
-BLOCK, SPLIT, TOGETHER, COMPOSED, GROUP_LINKS = 32_000_000, 4_000_000, 40_000, 400_000, 1 << 16
+BLOCK, SPLIT, TOGETHER, COMPOSED, GROUP_LINKS = 32_000_000, 4_000_000, 40_000, 100_000, 1 << 16
 #: White space before which a text may be cut, if the vocabularies allow it.
 CANDIDATES = " \n\t\v\f\r\x85\xa0\u2003\u3000"
 #: A space that does not begin a segment, as RE2 reads it: the first one, which the added space precedes, or one after other white space.
@@ -238,42 +238,56 @@ class _Groups:
     def __init__(self, groups: list[str]):
         raw = np.frombuffer(("\n".join(groups) + "\n" if groups else "").encode(), np.uint8)
         end = np.flatnonzero((raw < 48) | (raw > 57))
-        sep, digits = raw[end], np.diff(end, prepend=-1) - 1
-        value = np.zeros(len(end), np.int64)
+        sep, digits = raw[end], np.diff(end, prepend=-1).astype(np.int32) - 1
+        value = np.zeros(len(end), np.int32)
         for i in range(int(digits.max()) if len(digits) else 0):
             has = np.flatnonzero(digits > i)
-            value[has] += (raw[end[has] - 1 - i].astype(np.int64) - 48) * 10**i
+            value[has] += (raw[end[has] - 1 - i].astype(np.int32) - 48) * 10**i
+        del raw, end
         line = sep == _LINES
-        segment = np.cumsum(line) - line
+        segment = _number(line)
         self.bad = np.zeros(len(groups), bool)
         self.bad[segment[digits == 0]] = True
-        value, sep, segment, line = (x[digits > 0] for x in (value, sep, segment, line))
+        good = digits > 0
+        value, sep, segment, line = value[good], sep[good], segment[good], line[good]
         closes = line | (sep == _GROUPS)
-        group = np.cumsum(closes) - closes
-        n = int(closes.sum())
-        bar = np.flatnonzero(sep == _SIDES)  # the last token of the first tokenizer, in each group
-        is_a = np.arange(len(value)) <= bar[group] if n else np.zeros(0, bool)
-        n_a, n_b = np.bincount(group[is_a], minlength=n), np.bincount(group[~is_a], minlength=n)
+        group = _number(closes)
         of_group = segment[closes]
+        n = len(of_group)
+        bar = np.flatnonzero(sep == _SIDES).astype(np.int32)  # the last token of the first tokenizer, in each group
+        is_a = np.arange(len(value), dtype=np.int32) <= bar[group] if n else np.zeros(0, bool)
+        del sep, line, closes, good, digits
+        n_a, n_b = np.bincount(group[is_a], minlength=n), np.bincount(group[~is_a], minlength=n)
         links = n_a * n_b
         self.n_a, self.n_b, self.n_groups, self.n_links = (np.bincount(of_group, weights=w, minlength=len(groups)).astype(np.int64) for w in (n_a, n_b, np.ones(n), links))
         small = links <= GROUP_LINKS
         a_at = np.flatnonzero(is_a & small[group]) if n else np.zeros(0, np.int64)
         many = n_b[group[a_at]]
-        other = np.repeat(bar[group[a_at]] + 1, many) + within(many)
-        pair, of_segment, times = [np.repeat(value[a_at], many) << 32 | value[other]], [np.repeat(segment[a_at], many)], [np.ones(len(other), np.int64)]
+        other = np.repeat(bar[group[a_at]] + 1, many) + within(many).astype(np.int32)
+        pair, of_segment, times = [np.repeat(value[a_at].astype(np.int64) << 32, many) | value[other]], [np.repeat(segment[a_at], many)], [np.ones(len(other), np.int32)]
+        del a_at, many, other
         for g in np.flatnonzero(~small).tolist():  # each different pair once, with how often it comes
-            (a, a_times), (b, b_times) = (np.unique(value[(group == g) & side], return_counts=True) for side in (is_a, ~is_a))
+            (a, a_times), (b, b_times) = (np.unique(value[(group == g) & side].astype(np.int64), return_counts=True) for side in (is_a, ~is_a))
             pair.append((a[:, None] << 32 | b[None, :]).ravel())
             times.append((a_times[:, None] * b_times[None, :]).ravel())
-            of_segment.append(np.full(len(a) * len(b), of_group[g]))
-        self.pairs, number = np.unique(np.concatenate(pair), return_inverse=True)
-        of_segment, times = np.concatenate(of_segment), np.concatenate(times)
-        order = np.argsort(of_segment, kind="stable")
+            of_segment.append(np.full(len(a) * len(b), of_group[g], np.int32))
+        del value, segment, group, is_a
+        pair, of_segment, times = (x[0] if len(x) == 1 else np.concatenate(x) for x in (pair, of_segment, times))
+        self.pairs = np.unique(pair)
+        number = np.searchsorted(self.pairs, pair).astype(np.int32)
         sizes = np.bincount(of_segment, minlength=len(groups))
-        self.links, self.times = Ragged("<i4"), Ragged("<i8")
-        self.links.append(number[order].astype(np.int32), sizes)
-        self.times.append(times[order], sizes)
+        if len(of_segment) and (np.diff(of_segment) < 0).any():
+            order = np.argsort(of_segment, kind="stable")
+            number, times = number[order], times[order]
+        self.links, self.times = Ragged("<i4"), Ragged(times.dtype)
+        self.links.append(number, sizes)
+        self.times.append(times, sizes)
+        self.once = bool((times == 1).all())
+
+
+def _number(ends: np.ndarray) -> np.ndarray:
+    """The number of the run that each place is in, where runs end."""
+    return np.cumsum(ends, dtype=np.int32) - ends
 
 
 _COMPOSED = "block long, pair long, number int, n long, packed binary"
@@ -282,33 +296,17 @@ _COMPOSED = "block long, pair long, number int, n long, packed binary"
 def _compose(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Of one block: a row with its documents, and a row for each pair that is linked in them with the number of documents."""
     block = key[0].as_py()
-    place = right["place"].to_numpy()
-    groups = right["groups"].take(pa.array(np.argsort(place))).to_pylist()
-    found, own = _Groups(groups), np.zeros(0, np.int64)
+    groups = right["groups"].take(pa.array(np.argsort(right["place"].to_numpy()))).to_pylist()
+    found = _Groups(groups)
     out, documents = [], np.zeros(len(found.pairs), np.int64)
     for packed in left["packed"]:  # one, as a block is written by one task
         rows, numbers = _unpacked(packed.as_py())
-        numbers = numbers.astype(np.int64)
         counts = rows["n"].to_numpy()
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        bad = np.concatenate([[0], np.cumsum(found.bad[numbers])])
-        counts = np.where(np.diff(bad[ends]) > 0, 0, counts)
-        sums = {}
-        for name in ("n_a", "n_b", "n_groups", "n_links"):
-            run = np.concatenate([[0], np.cumsum(getattr(found, name)[numbers])])
-            sums[name] = np.where(counts > 0, run[ends[1:]] - run[ends[:-1]], 0)
-        digests, begin = [], ends[:-1].tolist()
-        for start, n in zip(begin, counts.tolist(), strict=True):
-            digests.append(hashlib.sha256(";".join(map(groups.__getitem__, numbers[start : start + n].tolist())).encode()).hexdigest() if n else "")
-        different, times, sizes = [], [], []
-        for a, b in _runs(counts, COMPOSED):
-            pairs, many, n = _linked(found, numbers, ends[a:b], counts[a:b])
-            documents += np.bincount(pairs, minlength=len(documents))
-            different.append(pairs)
-            times.append(many)
-            sizes.append(n)
-        table = pa.table({"doc_id": rows["doc_id"], **sums, "groups_sha256": digests, "n": np.concatenate(sizes) if sizes else own})
-        out.append(_packed(table, _steps(np.concatenate(different), np.concatenate(sizes)) if sizes else own, np.concatenate(times) if times else own))
+        begin = np.cumsum(counts) - counts
+        parts = [_run(found, groups, numbers[begin[a] : begin[a] + counts[a:b].sum()], counts[a:b], documents) for a, b in _runs(counts, COMPOSED)]
+        tables, steps, times = zip(*parts, strict=True) if parts else ((), (), ())
+        table = pa.concat_tables(tables) if tables else pa.table({c: pa.array([], k) for c, k in (("n_a", pa.int64()), ("n", pa.int64()))})
+        out.append(_packed(table.append_column("doc_id", rows["doc_id"]), *(np.concatenate([*x, np.zeros(0, np.uint32)]) for x in (steps, times))))
     linked = np.flatnonzero(documents)
     n = len(out)
     return pa.table(
@@ -331,20 +329,31 @@ def _runs(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def _linked(found: _Groups, numbers: np.ndarray, begin: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different pairs of each document in order, how often each comes, and how many there are for each document."""
-    here = numbers[np.repeat(begin, counts) + within(counts)]
-    flat, sizes = found.links.take(here)
-    document = np.repeat(np.repeat(np.arange(len(counts)), counts), sizes)
-    key, times = document << 32 | flat, found.times.take(here)[0]
-    if (times > 1).any():
-        order = np.argsort(key, kind="stable")
-        key, times = key[order], times[order]
-    else:
+def _run(found: _Groups, groups: list[str], numbers: np.ndarray, counts: np.ndarray, documents: np.ndarray) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """Some documents: their own columns, and their different pairs in order (as steps) with how often each comes. Adds to `documents` of each pair."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    bad = np.bincount(of, weights=found.bad[numbers], minlength=len(counts)) > 0
+    if bad.any():
+        numbers, of = numbers[~bad[of]], of[~bad[of]]
+        counts = np.where(bad, 0, counts)
+    sums = {name: np.bincount(of, weights=getattr(found, name)[numbers], minlength=len(counts)).astype(np.int64) for name in ("n_a", "n_b", "n_groups", "n_links")}
+    texts, digests, at = list(map(groups.__getitem__, numbers.tolist())), [], 0
+    for n in counts.tolist():
+        digests.append(hashlib.sha256(";".join(texts[at : at + n]).encode()).hexdigest() if n else "")
+        at += n
+    flat, sizes = found.links.take(numbers)
+    key = np.repeat(of << 32, sizes) | flat
+    if found.once:
         key = np.sort(key)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, each = key[order], found.times.take(numbers)[0][order]
     first = np.flatnonzero(np.diff(key, prepend=-1))
-    many = np.add.reduceat(times, first) if len(first) else times
-    return key[first] & 0xFFFFFFFF, many, np.bincount(key[first] >> 32, minlength=len(counts))
+    many = np.diff(first, append=len(key)) if found.once else np.add.reduceat(each, first) if len(first) else each
+    key = key[first]
+    pairs, sizes = key & 0xFFFFFFFF, np.bincount(key >> 32, minlength=len(counts))
+    documents += np.bincount(pairs, minlength=len(documents))
+    return pa.table({**sums, "groups_sha256": digests, "n": sizes}), _steps(pairs, sizes).astype(np.uint32), many.astype(np.uint32)
 
 
 def _steps(sorted_: np.ndarray, sizes: np.ndarray) -> np.ndarray:
