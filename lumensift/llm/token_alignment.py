@@ -165,12 +165,21 @@ def _batch(block, place, segment, packed) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(place, pa.int32()), pa.array(segment, pa.string()), pa.array(packed, pa.binary())], ["block", "place", "segment", "packed"])
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, their first bytes together, then their second ones, and so on."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _packed(rows: pa.Table, *numbers: np.ndarray) -> bytes:
-    """Rows, and arrays of 32-bit numbers, compressed. Of numbers equal bytes lie together."""
+    """Rows, and arrays of 32-bit numbers, compressed."""
     out = io.BytesIO()
     with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
         stream.write_table(rows)
-    parts = [out.getvalue(), *(pa.compress(n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) for n in numbers)]
+    parts = [out.getvalue(), *(pa.compress(_planes(n), "zstd", asbytes=True) for n in numbers)]
     sizes = np.array([len(parts), *map(len, parts), *map(len, numbers)], "<i8")
     return b"".join([sizes.tobytes(), *parts])
 
@@ -182,7 +191,7 @@ def _unpacked(raw: bytes) -> tuple[pa.Table, ...]:
     for size in sizes[:n]:
         parts.append(raw[at : at + size])
         at += size
-    numbers = [np.ascontiguousarray(np.frombuffer(pa.decompress(p, 4 * many, "zstd", asbytes=True), np.uint8).reshape(4, many).T).view("<u4").ravel() for p, many in zip(parts[1:], sizes[n:], strict=False)]
+    numbers = [_numbers(pa.decompress(p, 4 * many, "zstd", asbytes=True)) for p, many in zip(parts[1:], sizes[n:], strict=False)]
     return pa.ipc.open_stream(parts[0]).read_all(), *numbers
 
 
@@ -204,29 +213,49 @@ def _blocks(batches: Iterator[pa.RecordBatch], tokenizer: str, model: str) -> It
 # --- 2: segments
 
 
+_GROUPS_OF = "block long, n int, size int, packed binary"
+
+
 def _align(batches: Iterator[pa.RecordBatch], tokenizer: str, model: str) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by segment: block, place and the segment's groups. What the last rows had is kept for the next ones."""
+    """Rows sorted by segment, some at a time: for each block that asked for some of them a row with their places and groups, compressed. What the last segment had is kept for the next rows."""
     known, held, n = ("", ""), [], 0
 
-    def done() -> Iterator[pa.RecordBatch]:
+    def done() -> pa.RecordBatch:
         nonlocal known
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         encoded = rows.column(2).dictionary_encode()
         different = encoded.dictionary.to_pylist()
-        again = bool(different) and different[0] == known[0]
+        again = different[0] == known[0]
         groups = [known[1]] * again + (aligner(tokenizer, model).aligned(different[again:]) if len(different) > again else [])
         known = (different[-1], groups[-1])
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(groups, pa.string()).take(encoded.indices)], ["block", "place", "groups"])
+        block, place, number = (x.to_numpy() for x in (rows.column(0), rows.column(1), encoded.indices))
+        order = np.lexsort((place, block))
+        block, place, number = block[order], place[order], number[order].tolist()
+        first = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
+        ends = [*first[1:].tolist(), len(block)]
+        raw = [_planes(np.diff(place[a:b], prepend=0)) + "\n".join([groups[i] for i in number[a:b]]).encode() for a, b in zip(first.tolist(), ends, strict=True)]
+        columns = [pa.array(block[first], pa.int64()), pa.array(np.diff([*first, len(block)]), pa.int32()), pa.array(map(len, raw), pa.int32()), pa.array([pa.compress(r, "zstd", asbytes=True) for r in raw], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "n", "size", "packed"])
 
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             n += batch.num_rows
         if n >= TOGETHER:
-            yield from done()
+            yield done()
             held, n = [], 0
     if held:
-        yield from done()
+        yield done()
+
+
+def _asked(rows: pa.Table) -> list[str]:
+    """The groups of a block's segments, by place, from what _align() made."""
+    groups = [""] * sum(rows["n"].to_pylist())
+    for n, size, packed in zip(*(rows[c].to_pylist() for c in ("n", "size", "packed")), strict=True):
+        raw = pa.decompress(packed, size, "zstd", asbytes=True)
+        for place, text in zip(np.cumsum(_numbers(raw[: 4 * n])).tolist(), raw[4 * n :].decode().split("\n"), strict=True):
+            groups[place] = text
+    return groups
 
 
 # --- 3: documents
@@ -236,55 +265,57 @@ class _Groups:
     """What the groups of a block's segments say: counts for each segment, and its links as numbers of different pairs of ids."""
 
     def __init__(self, groups: list[str]):
-        raw = np.frombuffer(("\n".join(groups) + "\n" if groups else "").encode(), np.uint8)
-        end = np.flatnonzero((raw < 48) | (raw > 57))
-        sep, digits = raw[end], np.diff(end, prepend=-1).astype(np.int32) - 1
-        value = np.zeros(len(end), np.int32)
-        for i in range(int(digits.max()) if len(digits) else 0):
-            has = np.flatnonzero(digits > i)
-            value[has] += (raw[end[has] - 1 - i].astype(np.int32) - 48) * 10**i
-        del raw, end
-        line = sep == _LINES
-        segment = _number(line)
-        self.bad = np.zeros(len(groups), bool)
-        self.bad[segment[digits == 0]] = True
-        good = digits > 0
-        value, sep, segment, line = value[good], sep[good], segment[good], line[good]
-        closes = line | (sep == _GROUPS)
-        group = _number(closes)
-        of_group = segment[closes]
-        n = len(of_group)
-        bar = np.flatnonzero(sep == _SIDES).astype(np.int32)  # the last token of the first tokenizer, in each group
-        is_a = np.arange(len(value), dtype=np.int32) <= bar[group] if n else np.zeros(0, bool)
-        del sep, line, closes, good, digits
-        n_a, n_b = np.bincount(group[is_a], minlength=n), np.bincount(group[~is_a], minlength=n)
-        links = n_a * n_b
-        self.n_a, self.n_b, self.n_groups, self.n_links = (np.bincount(of_group, weights=w, minlength=len(groups)).astype(np.int64) for w in (n_a, n_b, np.ones(n), links))
-        small = links <= GROUP_LINKS
-        a_at = np.flatnonzero(is_a & small[group]) if n else np.zeros(0, np.int64)
-        many = n_b[group[a_at]]
-        other = np.repeat(bar[group[a_at]] + 1, many) + within(many).astype(np.int32)
-        pair, of_segment, times = [np.repeat(value[a_at].astype(np.int64) << 32, many) | value[other]], [np.repeat(segment[a_at], many)], [np.ones(len(other), np.int32)]
-        del a_at, many, other
-        for g in np.flatnonzero(~small).tolist():  # each different pair once, with how often it comes
-            (a, a_times), (b, b_times) = (np.unique(value[(group == g) & side].astype(np.int64), return_counts=True) for side in (is_a, ~is_a))
-            pair.append((a[:, None] << 32 | b[None, :]).ravel())
-            times.append((a_times[:, None] * b_times[None, :]).ravel())
-            of_segment.append(np.full(len(a) * len(b), of_group[g], np.int32))
-        del value, segment, group, is_a
-        pair, of_segment, times = (x[0] if len(x) == 1 else np.concatenate(x) for x in (pair, of_segment, times))
+        parts = [_parsed(groups[i : i + TOGETHER]) for i in range(0, max(1, len(groups)), TOGETHER)]
+        self.bad, self.n_a, self.n_b, self.n_groups, self.n_links, sizes, pair, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         self.pairs = np.unique(pair)
-        number = np.searchsorted(self.pairs, pair).astype(np.int32)
-        sizes = np.bincount(of_segment, minlength=len(groups))
-        if len(of_segment) and (np.diff(of_segment) < 0).any():
-            order = np.argsort(of_segment, kind="stable")
-            number, times = number[order], times[order]
         self.links, self.times = Ragged("<i4"), Ragged(times.dtype)
-        self.links.append(number, sizes)
+        self.links.append(np.searchsorted(self.pairs, pair).astype(np.int32), sizes)
         self.times.append(times, sizes)
         self.once = bool((times == 1).all())
 
 
+def _parsed(groups: list[str]) -> tuple[np.ndarray, ...]:
+    """Of some segments: which have no tokens, counts of ids, groups and links, and how many pairs each has; of each pair its ids and how often it is linked."""
+    raw = np.frombuffer(("\n".join(groups) + "\n" if groups else "").encode(), np.uint8)
+    end = np.flatnonzero((raw < 48) | (raw > 57))
+    sep, digits = raw[end], np.diff(end, prepend=-1).astype(np.int32) - 1
+    value = np.zeros(len(end), np.int32)
+    for i in range(int(digits.max()) if len(digits) else 0):
+        has = np.flatnonzero(digits > i)
+        value[has] += (raw[end[has] - 1 - i].astype(np.int32) - 48) * 10**i
+    line = sep == _LINES
+    segment = _number(line)
+    bad = np.zeros(len(groups), bool)
+    bad[segment[digits == 0]] = True
+    good = digits > 0
+    value, sep, segment, line = value[good], sep[good], segment[good], line[good]
+    closes = line | (sep == _GROUPS)
+    group = _number(closes)
+    of_group = segment[closes]
+    n = len(of_group)
+    bar = np.flatnonzero(sep == _SIDES).astype(np.int32)  # the last token of the first tokenizer, in each group
+    is_a = np.arange(len(value), dtype=np.int32) <= bar[group] if n else np.zeros(0, bool)
+    n_a, n_b = np.bincount(group[is_a], minlength=n), np.bincount(group[~is_a], minlength=n)
+    links = n_a * n_b
+    sums = [np.bincount(of_group, weights=w, minlength=len(groups)).astype(np.int64) for w in (n_a, n_b, np.ones(n), links)]
+    small = links <= GROUP_LINKS
+    a_at = np.flatnonzero(is_a & small[group]) if n else np.zeros(0, np.int64)
+    many = n_b[group[a_at]]
+    other = np.repeat(bar[group[a_at]] + 1, many) + within(many).astype(np.int32)
+    pair, of_segment, times = [np.repeat(value[a_at].astype(np.int64) << 32, many) | value[other]], [np.repeat(segment[a_at], many)], [np.ones(len(other), np.int32)]
+    for g in np.flatnonzero(~small).tolist():  # each different pair once, with how often it comes
+        (a, a_times), (b, b_times) = (np.unique(value[(group == g) & side].astype(np.int64), return_counts=True) for side in (is_a, ~is_a))
+        pair.append((a[:, None] << 32 | b[None, :]).ravel())
+        times.append((a_times[:, None] * b_times[None, :]).ravel())
+        of_segment.append(np.full(len(a) * len(b), of_group[g], np.int32))
+    pair, of_segment, times = (x[0] if len(x) == 1 else np.concatenate(x) for x in (pair, of_segment, times))
+    if len(of_segment) and (np.diff(of_segment) < 0).any():
+        order = np.argsort(of_segment, kind="stable")
+        pair, times = pair[order], times[order]
+    return bad, *sums, np.bincount(of_segment, minlength=len(groups)), pair, times
+
+
 def _number(ends: np.ndarray) -> np.ndarray:
     """The number of the run that each place is in, where runs end."""
     return np.cumsum(ends, dtype=np.int32) - ends
@@ -296,7 +327,7 @@ _COMPOSED = "block long, pair long, number int, n long, packed binary"
 def _compose(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Of one block: a row with its documents, and a row for each pair that is linked in them with the number of documents."""
     block = key[0].as_py()
-    groups = right["groups"].take(pa.array(np.argsort(right["place"].to_numpy()))).to_pylist()
+    groups = _asked(right)
     found = _Groups(groups)
     out, documents = [], np.zeros(len(found.pairs), np.int64)
     for packed in left["packed"]:  # one, as a block is written by one task
@@ -393,7 +424,7 @@ def alignments(docs: DataFrame, tokenizer: str | None = None, model: str | None
     spark, paths = docs.sparkSession, [new_path(docs.sparkSession) for _ in range(2)]
     blocks = written(texts(docs).mapInArrow(lambda batches: _blocks(batches, a, b), "block long, place int, segment string, packed binary"), paths[0])
     segments = blocks.where("packed is null").select("block", "place", "segment").repartition("segment").sortWithinPartitions("segment")
-    groups = segments.mapInArrow(lambda batches: _align(batches, a, b), "block long, place int, groups string")
+    groups = segments.mapInArrow(lambda batches: _align(batches, a, b), _GROUPS_OF)
     composed = blocks.where("packed is not null").select(F.col("block").alias("of"), "packed").groupBy("of").cogroup(groups.groupBy("block")).applyInArrow(_compose, _COMPOSED)
     composed = written(composed, paths[1])
     removed(spark, paths[0])
