@@ -2,10 +2,11 @@
 
 Token-efficiency test: a candidate string whose characters-per-token ratio under a tiktoken vocabulary is low looks
 random. Excluded are known digests (hexadecimal strings of a digest's length), UUIDs and identifiers (words joined by
-underscores or hyphens, paths, names in camel case). Spans of the fixed patterns always stay.
+underscores or hyphens, paths, names in camel case), these as long as the words themselves are no random letters. Spans of the fixed patterns always stay; of a
+candidate that they cover in part, the rest is tested too.
 
 Spans are [start, end) in code points. Null text: empty, no spans. Rows are independent, so repeated rows, ties and null
-doc_ids need no rule.
+doc_ids need no rule. Very long texts: a block of their own. Empty table: no rows. Other columns are not read by scanned(), and kept by redacted(), whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +30,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: A text without any of these has no match of ASSIGN.
 KEYWORDS = ("passw", "secret", "token", "api_key", "apikey")
-#: Candidates of the token-efficiency test.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Candidates of the token-efficiency test, and their least length.
+SHORTEST = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Words in camel case, with a short number behind. An identifier joins such parts, or is one of several words; a single word is left to the ratio.
 _PART = r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[A-Z][a-z]{2,}|(?<=[a-z])[A-Z]{2,})*[0-9]{0,4}"
 IDENTIFIER = re.compile(rf"(?:{_PART}|[0-9]{{1,4}})(?:[-_/](?:{_PART}|[0-9]{{1,4}}))+|(?:[A-Z]?[a-z]{{2,}}|[A-Z]{{2,}})(?:[A-Z][a-z]{{2,}}|(?<=[a-z])[A-Z]{{2,}})+[0-9]{{0,4}}")
+#: The words and numbers of an identifier.
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: Characters per token below which a candidate counts as random.
 RATIO = 2.0
 
@@ -67,17 +71,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _ratio(strings: list[str], path: str) -> float:
+    """Characters per token of some strings, each by itself."""
+    return sum(map(len, strings)) / sum(map(len, encoding(path).encode_ordinary_batch(strings, num_threads=1)))
+
+
 def looks_random(candidate: str, path: str, ratio: float = RATIO) -> bool:
-    if len(candidate) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-fA-F]+", candidate) or UUID.fullmatch(candidate) or IDENTIFIER.fullmatch(candidate):
+    """Whether a string is none of the known digests, no UUID, no identifier whose own words a tokenizer compresses, and has few characters per token."""
+    if len(candidate) in DIGEST_LENGTHS and re.fullmatch(r"[0-9a-fA-F]+", candidate) or UUID.fullmatch(candidate):
         return False
-    return len(candidate) / len(encoding(path).encode_ordinary(candidate)) < ratio
+    if IDENTIFIER.fullmatch(candidate) and _ratio(WORDS.findall(candidate), path) >= ratio:
+        return False
+    return _ratio([candidate], path) < ratio
+
+
+def random_spans(text: str, base: list[tuple[int, int, int]], path: str, ratio: float = RATIO) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of candidates that look random. Where fixed patterns have a part of one, the whole is taken if it looks random, else each of the parts that they leave
+    of it which is long enough for a candidate and looks random; where they have all of it, none."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        inside = [(max(s, m.start()), min(e, m.end())) for s, _, e in base if s < m.end() and m.start() < e]
+        if not inside:
+            if looks_random(m[0], path, ratio):
+                out.append((m.start(), 3, m.end()))
+            continue
+        gaps, at = [], m.start()
+        for s, e in [*inside, (m.end(), m.end())]:
+            if s > at:
+                gaps.append((at, s))
+            at = max(at, e)
+        if gaps and looks_random(m[0], path, ratio):
+            out.append((m.start(), 3, m.end()))
+        else:
+            out += [(s, 3, e) for s, e in gaps if e - s >= SHORTEST and looks_random(text[s:e], path, ratio)]
+    return out
 
 
 def spans(text: str, path: str, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all spans. A candidate that overlaps a span of the fixed patterns adds none."""
+    """(start, kind, end) of all spans."""
     base = base_spans(text)
-    more = [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if looks_random(m[0], path, ratio)]
-    return sorted(base + [m for m in more if not any(s < m[2] and m[0] < e for s, _, e in base)])
+    return sorted(base + random_spans(text, base, path, ratio))
 
 
 def told(found: list[tuple[int, int, int]]) -> str:
