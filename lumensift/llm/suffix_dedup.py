@@ -21,7 +21,7 @@ Keys with very many rows: of the rows of a block that have an anchor, or a strin
 others follow; so a line that all documents have sends a row for a block, not for a document. Copies are salted.
 
 Null text: empty, nothing removed. Null doc_id: larger than all others (as is one within 2**40 of the largest long), and none of them smaller than another.
-Rows that repeat a doc_id do not affect each other; each is judged against smaller ids. Texts of one id are told apart by a CRC-32.
+Rows that repeat a doc_id do not affect each other; each is judged against smaller ids. Texts of one id are told apart by 64 bits of their SHA-256.
 Very long texts: anchors are sought in overlapping stretches. Empty table: no rows. Other columns may have any names.
 """
 
@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +50,7 @@ _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 NULLS = (1 << 63) - (1 << 40)
 #: Ways that the rows of one text are dealt.
 SALTS = 16
-RUN = np.dtype([("doc_id", "<i8"), ("check", "<u4"), ("start", "<u4"), ("anchor", "<u4"), ("length", "u1")])
+RUN = np.dtype([("doc_id", "<i8"), ("check", "<i8"), ("start", "<u4"), ("anchor", "<u4"), ("length", "u1")])
 MARK = np.dtype([("id", "<i8"), ("check", "<i8"), ("span", "<i8")])
 
 
@@ -208,7 +207,7 @@ def windows(ids: np.ndarray, strings: list[str], wanted: list[np.ndarray], least
     first, count, h, doc = first[order], count[order], h[order], doc[order]
     rows = np.zeros(len(first), RUN)
     rows["doc_id"], rows["start"], rows["length"] = ids[doc], first - bounds[doc], count + least - 1
-    rows["check"] = np.array([zlib.crc32(data[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], np.uint32)[doc]
+    rows["check"] = np.array([check_of(data[a:b].data) for a, b in zip(bounds, bounds[1:], strict=False)], np.int64)[doc]
     rows["anchor"] = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     at, size = first, rows["length"].astype(np.int64)
     blobs, named = [], []
@@ -235,6 +234,11 @@ def windows(ids: np.ndarray, strings: list[str], wanted: list[np.ndarray], least
     return pa.RecordBatch.from_arrays([pa.array([*named, *buckets.tolist()], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
+def check_of(text: bytes) -> int:
+    """What tells the texts of one doc_id apart: 64 bits of their SHA-256."""
+    return int.from_bytes(hashlib.sha256(text).digest()[:8], "little", signed=True)
+
+
 def _cut(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Strings of data, one after another, and where each begins (then the end)."""
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -471,7 +475,7 @@ def removed_spans(text: bytes, digests: list[str] | None, marks: list[dict] | No
         return [(0, len(text))]
     if not marks:
         return []
-    check = zlib.crc32(text)
+    check = check_of(text)
     return merged([m["span"] for m in marks if m["check"] == check])
 
 
