@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import checkpointed, map_blocks, partitions, quoted, texts
+from lumensift.llm.common import checkpointed, map_blocks, partitions, quoted, texts, written
 from lumensift.llm.components import components
+from lumensift.llm.membership import Members
 from lumensift.llm.numbered import within
 from lumensift.llm.overlap import overlaps
 
@@ -308,8 +309,9 @@ def similar_links(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMI
             elements = [shingles(t.as_buffer().to_pybytes(), shingle).view(np.int64) for t in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(elements, pa.list_(pa.int64()))], ["root", "node", "elements"])
 
-    met = rows.join(components(links), "node").select("root", "node", "text")
-    found = checkpointed(met.mapInArrow(sets, "root long, node long, elements array<long>").dropDuplicates(["node"]))
+    labels = components(links)
+    met = rows.where(Members(labels, "node").may_have(F.col("node"))).join(labels, "node").select("root", "node", "text")
+    found = written(met.mapInArrow(sets, "root long, node long, elements array<long>").dropDuplicates(["node"]))
     return overlaps(found, similar)
 
 
@@ -318,12 +320,16 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMIL
 
     A group is what similar_links() and equal texts join. Null text: empty; texts without words are a group only with texts equal to them. Null doc_id: stays
     where its group has no id. Rows that repeat both doc_id and text stay together, as ties do. Any column names; empty table: no rows."""
-    base = docs.select(F.struct(*(docs[quoted(c)] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    named = base.select("doc_id", _node(F.col("text")).alias("node"))
-    least = checkpointed(named.groupBy("node").agg(F.min("doc_id").alias("first_id")))
-    groups = components(similar_links(base.select("text"), shingle, similar, seeds, limit)).select("node", "root")
-    rooted = least.join(groups, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    of_group = rooted.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    stays = rooted.join(of_group, "root").where(F.col("first_id").eqNullSafe(F.col("least_id"))).select("node", F.col("least_id").alias("stays_id"))
-    rows = base.select("row", "doc_id", _node(F.col("text")).alias("node"))
-    return rows.join(stays, (rows["node"] == stays["node"]) & rows["doc_id"].eqNullSafe(stays["stays_id"]), "left_semi").select("row.*")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    base = docs.select(F.struct(*(docs[quoted(c)] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), _node(text).alias("node"))
+    ids = base.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count_if(F.col("doc_id").isNull()).alias("n_null"))
+    least = written(ids.select("node", "first_id", (~F.col("first_id").eqNullSafe(F.col("last_id")) | (F.col("n_null") > 0) & F.col("first_id").isNotNull()).alias("several")))
+    groups = components(similar_links(docs.select(text.alias("text")), shingle, similar, seeds, limit)).select("node", "root")
+    rooted = least.join(groups, "node", "left").select("node", "first_id", "several", F.col("root").isNotNull().alias("joined"), F.coalesce("root", "node").alias("root"))
+    affected = rooted.where("several or joined")  # in all other groups one doc_id is all there is, and its rows stay
+    of_group = affected.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    keeps = F.col("first_id").eqNullSafe(F.col("least_id"))
+    verdicts = written(affected.join(of_group, "root").select(F.col("node").alias("of"), keeps.alias("keeps"), "least_id"))
+    may_go = Members(verdicts, "of").may_have(F.col("node"))
+    goes = (F.col("node") == F.col("of")) & ~(F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("least_id")))
+    return base.where(~may_go).select("row.*").unionAll(base.where(may_go).join(verdicts, goes, "left_anti").select("row.*"))
