@@ -212,7 +212,8 @@ def with_stem(words: DataFrame, word: str, name: str, lang: str = "auto") -> Dat
     for step in ENGLISH_STEPS:
         out = out.withColumn("_stem", F.when(F.col("_english"), step(F.col("_stem"))).otherwise(F.col("_stem")))
     russian = F.col("_stem") if lang == "en" else F.when(F.col(word).rlike(CYRILLIC), stem_ru(F.col(word))).otherwise(F.col("_stem"))
-    return out.select(*words.columns, russian.alias(name))
+    # a filter on the result stops at the explode; pushed into the steps, it would double with each
+    return out.select(*words.columns, F.explode_outer(F.array(russian)).alias(name))
 
 
 # --- Keyboard layouts --------------------------------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """The inverted index as ordinary tables.
 
 postings(term, doc_idx, tf_title, tf_keywords, tf_body), terms(term, df, first_pos), forms(term, word, first_pos),
-doc_stats(doc_idx, doc_len) and the corpus numbers. first_pos, a (doc_idx, field, position) struct, is where a term or form was first
+doc_stats(doc_idx, doc_len), typos (see typos.py) and the corpus numbers. first_pos, a (doc_idx, field, position) struct, is where a term or form was first
 seen; that order is what suggestions, typo repair and highlighting go by.
 
 A word's rows are pre-aggregated by document before they are shuffled, and only the distinct words are stemmed.
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.functions import text as X
+from lumensift.operators import typos as T
 from lumensift.schema import EngineConfig, small
 
 FIELDS = ("title", "keywords", "body")
@@ -43,6 +44,7 @@ class SearchIndex:
     config: EngineConfig = field(default_factory=EngineConfig)
     counted: tuple[int, float] | None = None  #: the corpus numbers of a saved index
     staged: DataFrame | None = None  #: counts by word and document, which the other tables come from
+    typos: DataFrame | None = None  #: parts of terms for config.levenshtein_limit edits
 
     @cached_property
     def corpus(self) -> tuple[int, float]:
@@ -55,10 +57,15 @@ class SearchIndex:
     def dictionary(self) -> DataFrame:
         return self.terms.select("term", "first_pos").orderBy("first_pos").select("term")
 
+    def typos_within(self, limit: int) -> DataFrame:
+        """Parts of terms for look-ups within so many edits."""
+        kept = self.typos is not None and limit == self.config.levenshtein_limit
+        return self.typos if kept else T.entries(self.terms.select("term", "first_pos"), limit)
+
     @property
     def _tables(self) -> list[DataFrame]:
         """What others come from first."""
-        return [df for df in (self.staged, self.postings, self.terms, self.forms, self.doc_stats) if df is not None]
+        return [df for df in (self.staged, self.postings, self.terms, self.forms, self.doc_stats, self.typos) if df is not None]
 
     def persist(self) -> SearchIndex:
         for df in self._tables:
@@ -70,18 +77,30 @@ class SearchIndex:
             df.unpersist()
 
     def save(self, path: str) -> None:
-        """Parquet, sorted within files by what look-ups go by, so that row groups are skipped."""
+        """Parquet, sorted within files by what look-ups go by, so that row groups are skipped. `staged` is written first and the other tables come from what was written,
+        so texts are read once."""
+        spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        n, mean = self.corpus
-        small(self.docs.sparkSession, [(n, mean)], "n bigint, mean double").write.mode("overwrite").parquet(f"{path}/corpus")
+        source = self
+        if self.staged is not None:
+            self.staged.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/staged")
+            source = of_staged(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/staged"), self.config)
+        source.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
         for name in ("postings", "terms", "forms"):
-            getattr(self, name).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/{name}")
+            getattr(source, name).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/{name}")
+        limit = self.config.levenshtein_limit
+        T.entries(spark.read.parquet(f"{path}/terms"), limit).repartitionByRange("part").sortWithinPartitions("part").write.mode("overwrite").parquet(f"{path}/typos")
+        row = spark.read.parquet(f"{path}/doc_stats").agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total")).first()
+        mean = row["total"] / row["n"] if row["n"] else 0.0
+        small(spark, [(row["n"], mean, limit)], "n bigint, mean double, typo_limit int").write.mode("overwrite").parquet(f"{path}/corpus")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, config: EngineConfig | None = None) -> SearchIndex:
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(read("docs"), read("postings"), read("terms"), read("forms"), read("doc_stats"), config or EngineConfig(), tuple(read("corpus").first()))
+        """An index saved for another levenshtein_limit looks typos up in parts that it cuts anew."""
+        read, config = (lambda name: spark.read.parquet(f"{path}/{name}")), config or EngineConfig()
+        corpus = read("corpus").first()
+        typos = read("typos") if corpus["typo_limit"] == config.levenshtein_limit else None
+        return cls(read("docs"), read("postings"), read("terms"), read("forms"), read("doc_stats"), config, (corpus["n"], corpus["mean"]), typos=typos)
 
     def register(self, prefix: str = "") -> None:
         """Temporary views, for SQL over the index."""
@@ -99,12 +118,16 @@ def build(docs: DataFrame, config: EngineConfig | None = None) -> SearchIndex:
     """Index of docs (schema.DOC). Lazy: nothing runs before a table is read."""
     config = config or EngineConfig()
     words = word_counts(docs)
-    vocabulary = X.with_stem(words.select("word").distinct(), "word", "term", config.lang)  # never empty
-    staged = words.join(vocabulary, "word")
+    vocabulary = X.with_stem(words.select("word").distinct(), "word", "term", config.lang)
+    return of_staged(docs, words.join(vocabulary, "word"), config)
+
+
+def of_staged(docs: DataFrame, staged: DataFrame, config: EngineConfig) -> SearchIndex:
+    """The tables of an index, from its counts by word and document."""
     first = F.min(F.struct("doc_idx", "place.field", "place.pos")).alias("first_pos")
     postings = staged.groupBy("term", "doc_idx").agg(*(F.sum(f"tf_{name}").alias(f"tf_{name}") for name in FIELDS), F.min("place").alias("place"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"), first)
     forms = staged.groupBy("term", "word").agg(first)
     lengths = staged.groupBy("doc_idx").agg(F.sum("tf_body").alias("doc_len"))
     doc_stats = docs.select("doc_idx").join(lengths, "doc_idx", "left").select("doc_idx", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
-    return SearchIndex(docs, postings, terms, forms, doc_stats, config, staged=staged)
+    return SearchIndex(docs, postings, terms, forms, doc_stats, config, staged=staged, typos=T.entries(terms.select("term", "first_pos"), config.levenshtein_limit))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lumensift.functions import text as X
 from lumensift.functions.stopwords import STOP_WORDS
+from lumensift.operators import typos
 from lumensift.operators.index import SearchIndex
 from lumensift.plans.query import ParsedQuery, parse, parsed_columns
 from lumensift.schema import small
@@ -36,16 +37,18 @@ class Resolved:
     excluded: tuple[str, ...]
 
 
-def nearest(index: SearchIndex, words: DataFrame, most: int, limit: int) -> DataFrame:
+def nearest(index: SearchIndex, words: DataFrame, most: int, limit: int, few: bool = False) -> DataFrame:
     """(word, term, rank) of the dictionary terms within `limit` edits of words(word), but not equal: of the first 4 * most in index
-    order the `most` nearest. The dictionary is scanned once and compared
-    within a band of lengths; no key joins words that differ, so the few asked for go to all tasks, unless Spark finds them too large for that."""
-    far = F.levenshtein(F.col("word"), F.col("term"), limit)
-    band = F.abs(F.char_length("word") - F.char_length("term")) <= limit
-    near = index.terms.join(words.distinct(), band).select("word", "term", "first_pos", far.alias("dist")).where(F.col("dist").between(1, limit))
-    seen = near.withColumn("seen", F.row_number().over(Window.partitionBy("word").orderBy("first_pos"))).where(F.col("seen") <= most * LOOKED_AT)
-    rank = F.row_number().over(Window.partitionBy("word").orderBy("dist", "first_pos"))
-    return seen.withColumn("rank", rank).where(F.col("rank") <= most).select("word", "term", "rank")
+    order the `most` nearest. Words meet terms through equal parts (see typos.py). few: the plan holds the words itself, and what they ask for prunes the scan."""
+    entries = index.typos_within(limit)
+    if few:
+        found = words.select("word", typos.asked(F.col("word"), limit).alias("keys")).collect()  # the optimizer itself works this out; no job runs
+        rows = [(r["word"], *key) for r in found for key in r["keys"]]
+        asked = small(words.sparkSession, rows, "word string, size int, place int, part string")
+        entries = entries.where(F.col("part").isin(*sorted({r[3] for r in rows})))
+    else:
+        asked = typos.probes(words.distinct(), limit)
+    return typos.nearest(entries, asked, limit, most, most * LOOKED_AT)
 
 
 def variants(words: DataFrame, lang: str) -> DataFrame:
@@ -83,7 +86,7 @@ def resolve(index: SearchIndex, parsed: ParsedQuery, lang: str = "auto", fuzzy:
     near: dict[str, list[str]] = {}
     lost = {known[w]["stem"] for w in asked if not known[w]["exact"]}
     if fuzzy and lost:
-        rows = nearest(index, small(spark, [(w,) for w in sorted(lost)], "word string"), NEIGHBOURS, index.config.levenshtein_limit)
+        rows = nearest(index, small(spark, [(w,) for w in sorted(lost)], "word string"), NEIGHBOURS, index.config.levenshtein_limit, few=True)
         for r in sorted(rows.collect(), key=lambda r: (r["word"], r["rank"])):
             near.setdefault(r["word"], []).append(r["term"])
     terms: dict[str, None] = {}
@@ -229,6 +232,21 @@ def resolve_batch(index: SearchIndex, queries: DataFrame, lang: str = "auto") ->
     return found
 
 
+def _without_terms(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, doc_idx, score) of documents for queries without any term, which mean every document. Documents come by the query's category, else by its tags; a
+    query without filters needs the first `limit` alone; one that has a phrase or excluded words only is held against all."""
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    bare = F.col("phrase").isNull() & (F.size("excluded") == 0)
+    by_tag = F.transform(F.array_distinct("tags"), lambda t: key("tag", t))
+    ways = F.when(F.coalesce("category", F.lit("")) != "", F.array(key("category", F.col("category")))).when(F.size("tags") > 0, by_tag)
+    ways = ways.when(bare, F.array(key("first", F.lit("")))).otherwise(F.array(key("all", F.lit(""))))
+    keys = F.concat(F.array(key("category", F.col("doc_category")), key("all", F.lit(""))), F.transform(F.array_distinct("doc_tags"), lambda t: key("tag", t)))
+    places = docs.select("doc_idx", F.inline_outer(keys)).union(docs.orderBy("doc_idx").limit(limit).select("doc_idx", F.lit("first"), F.lit("")))
+    # inline_outer, as inline has Spark filter by the whole of the expression first, far below
+    met = places.join(queries.select("query_id", F.inline_outer(ways)), ["kind", "key"])
+    return met.select("query_id", "doc_idx", F.lit(0.0).alias("score")).distinct()  # a document may have two of a query's tags
+
+
 def search_batch(index: SearchIndex, queries: DataFrame, limit: int | None = None, lang: str = "auto") -> DataFrame:
     """(query_id, rank, doc_idx, id, score) for a table of queries(query_id, query), which Spark broadcasts if its size allows.
 
@@ -242,8 +260,7 @@ def search_batch(index: SearchIndex, queries: DataFrame, limit: int | None = Non
     parsed = queries.select("query_id", F.trim("query").alias("query"), *(c.alias(n) for n, c in columns.items())).where("query != ''")
     without = parsed.join(terms.select("query_id").distinct(), "query_id", "left_anti")
     docs = index.docs.select("doc_idx", "title", "content", F.lower(F.coalesce("category", F.lit(""))).alias("doc_category"), F.transform(F.coalesce("tags", F.array()), F.lower).alias("doc_tags"))
-    all_docs = docs.select("doc_idx").crossJoin(without.select("query_id")).select("query_id", "doc_idx", F.lit(0.0).alias("score"))  # such a query means every document
-    found = found.union(all_docs)
+    found = found.union(_without_terms(docs, without, limit))
     barred = parsed.select("query_id", F.explode("excluded").alias("word")).select("query_id", F.lower("word").alias("word")).where(~X.is_stop_word(F.col("word")))
     barred = index.postings.join(barred.select("query_id", X.stem(F.col("word"), lang).alias("term")), "term").select("query_id", "doc_idx")
     found = found.join(barred, ["query_id", "doc_idx"], "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumensift.functions.stopwords import STOP_WORDS
 from lumensift.operators.index import SearchIndex
 from lumensift.operators.search import SearchResult, _stems, nearest
+from lumensift.schema import small
 
 SAID = "Возможно, вы имели в виду: «{}»"
 
@@ -47,8 +48,8 @@ def did_you_mean(result: SearchResult, lang: str = "auto") -> str | None:
     if not asked:
         return None
     stems = {w: r["stem"] for w, r in _stems(spark, index, [raw.lower() for raw in asked], lang).items()}
-    rows = spark.createDataFrame([(s,) for s in dict.fromkeys(stems.values())], "word string")
-    near = {r["word"]: r["term"] for r in nearest(index, rows, 1, index.config.levenshtein_limit).collect()}
+    rows = small(spark, [(s,) for s in dict.fromkeys(stems.values())], "word string")
+    near = {r["word"]: r["term"] for r in nearest(index, rows, 1, index.config.levenshtein_limit, few=True).collect()}
     found = [(raw, near[stems[raw.lower()]]) for raw in asked if stems[raw.lower()] in near]
     if not found:
         return None

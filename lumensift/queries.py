@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.functions import text as X
-from lumensift.operators import catalog, facets, rag
+from lumensift.operators import catalog, facets, rag, typos
 from lumensift.operators.highlight import fragments, with_fragments
 from lumensift.operators.index import SearchIndex, build, occurrences
-from lumensift.operators.search import rounded, search, search_batch
+from lumensift.operators.search import NEIGHBOURS, nearest, rounded, search, search_batch
+from lumensift.operators.segments import GrowingIndex
 from lumensift.operators.suggest import did_you_mean, merged_suggestions, suggest
 from lumensift.plans.query import parsed_columns
 from lumensift.schema import small
@@ -64,6 +65,22 @@ def _parts(spark: SparkSession, sf_dir: str) -> SearchIndex:
     return index_of(spark, sf_dir, corpora.parts)
 
 
+def _growing(spark: SparkSession, sf_dir: str) -> GrowingIndex:
+    """The documents, come in three portions by language; then those of one source were withdrawn."""
+    growing, docs = GrowingIndex(spark, f"{_folder(spark)}/index"), corpora.documents(spark, sf_dir)
+    for portion in (F.col("category") == "en", F.col("category").isin("de", "fr"), ~F.col("category").isin("en", "de", "fr")):
+        growing.add(docs.where(portion))
+    growing.delete(docs.where(F.array_contains("tags", "src1")).select("id"))
+    return growing
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    key = (spark.sparkContext.applicationId, sf_dir, "grown")
+    if key not in _INDEXES:
+        _INDEXES[key] = _growing(spark, sf_dir).view()
+    return _INDEXES[key]
+
+
 def _hits(index: SearchIndex, text: str, **options: object) -> DataFrame:
     return search(index, text, **options).hits.select("rank", "id", "score")
 
@@ -124,6 +141,26 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.statistics(_documents(spark, sf_dir))
 
 
+@query
+def segments_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of an index that grew and shrank."""
+    return _grown(spark, sf_dir).terms.select("term", "df", F.col("first_pos.doc_idx").alias("first_doc"))
+
+
+@query
+def segments_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(_grown(spark, sf_dir), "thing erble")
+
+
+@query
+def segments_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after a merge into one segment, by document: lengths, and how many terms each has."""
+    growing = _growing(spark, sf_dir)
+    growing.merge()
+    view = growing.view()
+    return view.postings.groupBy("doc_idx").agg(F.count("*").alias("n_terms")).join(view.doc_stats, "doc_idx").select("doc_idx", "doc_len", "n_terms")
+
+
 # --- Retrieval -------------------------------------------------------------------------------------------------------------
 
 
@@ -297,12 +334,13 @@ def query_log_top_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def query_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same counts from a stream, kept in a store."""
+    """The same counts from a stream of two batches, kept in a store. Its last batch comes twice."""
     folder = _folder(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_watched(spark, sf_dir, folder))
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 2).parquet(_watched(spark, sf_dir, folder))
     store = Store(spark, f"{folder}/state")
     learner.learn_stream(stream, store, f"{folder}/checkpoint", "event_type").awaitTermination()
+    store.merge(store.load().select("query", (F.col("n") * 2).alias("n")), 1, f"{folder}/checkpoint")
     return store.load()
 
 
@@ -368,16 +406,20 @@ def layout_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of terms within distance 2. Of three parts of the shorter one, one is in the other, at most two places off; so candidates share a part, and no pair else is formed."""
-    terms = _parts(spark, sf_dir).terms.select("term", F.char_length("term").alias("n"))
-    edge = lambda n, k: F.floor(n * k / 3).cast("int")
-    parts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.expr("term").substr(edge(F.col("n"), k) + 1, edge(F.col("n"), k + 1) - edge(F.col("n"), k)).alias("part")) for k in range(3))))
-    short = terms.select(F.col("term").alias("x"), "n", parts.alias("p")).select("x", "n", "p.*")
-    places = terms.select(F.col("term").alias("y"), F.col("n").alias("m"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - 2), F.col("n"))).alias("n"), F.array(*map(F.lit, range(3))).alias("ks")).withColumn("k", F.explode("ks"))
-    places = places.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), edge(F.col("n"), F.col("k")) - 2), edge(F.col("n"), F.col("k")) + 2)))
-    places = places.select("y", "n", "k", F.col("y").substr(F.col("at") + 1, edge(F.col("n"), F.col("k") + 1) - edge(F.col("n"), F.col("k"))).alias("part")).distinct()
-    pairs = short.join(places, ["n", "k", "part"]).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.select("a", "b", F.levenshtein("a", "b", 2).cast("bigint").alias("distance")).where("distance >= 0")
+    """Pairs of terms within distance 2."""
+    terms = _parts(spark, sf_dir).terms.select("term", "first_pos")
+    pairs = typos.within(typos.entries(terms, 2), typos.probes(terms.select(F.col("term").alias("word")), 2), 2)
+    return pairs.where("word < term").select(F.col("word").alias("a"), F.col("term").alias("b"), F.col("dist").cast("bigint").alias("distance"))
+
+
+@query
+def spelling_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of all words of the conversations whose stems the documents lack."""
+    index = _documents(spark, sf_dir)
+    said = X.normalised(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("text"), "text").select(F.explode(X.words_of(F.col("text"))).alias("word")).distinct()
+    stems = X.with_stem(said.where(~X.is_stop_word(F.col("word"))), "word", "stem").select(F.col("stem").alias("word")).distinct()
+    lost = stems.join(index.terms.select(F.col("term").alias("word")), "word", "left_anti")
+    return nearest(index, lost, NEIGHBOURS, index.config.levenshtein_limit)
 
 
 @query

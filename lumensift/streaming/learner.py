@@ -42,8 +42,8 @@ def top(state: DataFrame, prefix: str = "", limit: int = 8) -> DataFrame:
 def learn_stream(queries: DataFrame, store: Store, checkpoint: str, column: str = "query", interval: str | None = None) -> StreamingQuery:
     """Keeps the store's state up to date with a stream of queries.
 
-    Counts are the stream's own state, so each batch replaces the table as a whole and a repeated batch changes nothing. `interval` is
-    the time between writes; without it, what is there is taken and the stream ends. The store must be this stream's own."""
-    writer = remember(queries, column).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-    writer = writer.foreachBatch(lambda batch, _: store.save(batch))
+    Counts are the stream's own state; of each batch the queries whose counts changed are merged into the store's parts that they fall into, and the batch's number is committed with them, so
+    a repeated batch changes nothing. `interval` is the time between writes; without it, what is there is taken and the stream ends. The store must be this stream's own."""
+    writer = remember(queries, column).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = writer.foreachBatch(lambda batch, number: store.merge(batch, number, checkpoint) and None)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
