@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.functions import text as X
+from lumensift.functions.sql import register_functions
 from lumensift.operators import catalog, facets, rag, typos
 from lumensift.operators.highlight import fragments, with_fragments
 from lumensift.operators.index import SearchIndex, build, occurrences
@@ -242,6 +243,26 @@ def parse_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", *(F.size(columns[n]).cast("bigint").alias(f"n_{n}") for n in ("required", "excluded", "words", "tags")))
 
 
+@query
+def sql_stem_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query in SQL: how often each stem is said in the documents."""
+    register_functions(spark)
+    X.normalised(corpora.documents(spark, sf_dir).select("doc_idx", "content"), "content").createOrReplaceTempView("lumensift_texts")
+    return spark.sql("""
+        WITH said AS (SELECT word, count(*) AS n FROM (SELECT explode(words) AS word FROM (SELECT lumen_words(content) AS words FROM lumensift_texts)) GROUP BY word)
+        SELECT lumen_stem(word) AS term, sum(n) AS n FROM said WHERE NOT lumen_is_stop(word) GROUP BY ALL""")
+
+
+@query
+def sql_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function over the documents: words of each text, those that are indexed, and different ones of these."""
+    register_functions(spark)
+    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("lumensift_documents")
+    return spark.sql("""
+        SELECT id AS doc_id, count(*) AS n_raw, count_if(NOT stop) AS n_words, count(DISTINCT word) FILTER (WHERE NOT stop) AS n_distinct
+        FROM lumen_tokenize(TABLE(lumensift_documents), 'doc_id', 'text') GROUP BY id""")
+
+
 # --- Suggestions and presentation --------------------------------------------------------------------------------------------
 
 
