@@ -99,7 +99,7 @@ def providers(spark: SparkSession, group: str | None = None, query: str | None =
 
 def clean_bots(bots: DataFrame) -> DataFrame:
     """Of the rows (ord, name, platform, commands) the last of each trimmed name, in the order of first registration; commands trimmed, distinct, not empty. Rows without a name go."""
-    tidy = bots.select("ord", F.trim("name").alias("name"), "platform", F.array_distinct(F.filter(F.transform("commands", F.trim), lambda c: c != "")).alias("commands")).where("name != ''")
+    tidy = bots.select("ord", F.trim("name").alias("name"), "platform", F.array_distinct(F.filter(F.transform("commands", lambda c: F.trim(c)), lambda c: c != "")).alias("commands")).where("name != ''")
     return tidy.groupBy("name").agg(F.min("ord").alias("ord"), F.max_by(F.struct("platform", "commands"), "ord").alias("last")).select("ord", "name", "last.platform", "last.commands")
 
 

@@ -28,12 +28,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 _INDEXES: dict[tuple, SearchIndex] = {}
 
-#: Literal tables of the queries on parsing, layouts and bots.
-RAW_QUERIES = ("+alpha -beta gamma", '"x y" "z"', "@One @Two t", "#A #b", '+ - @ # ""', '"  "', 'Docker, "Exact Phrase" +Must -not @Cat #T1 #T2 rest', "   ")
-TYPED = ("ghbdtn", "yfgbcfk", "цшвпуе", "щкфтпу", "abc1", "слово", "don't", "a[b", "Ghbdtn", "x")
-BOTS = ((0, " helper ", "telegram", ["/start", " /help ", "/start", ""]), (1, "", "telegram", ["/x"]), (2, "notes", "web", []), (3, "helper", "web", ["/new"]), (4, "  ", "web", ["/y"]))
-RUSSIAN = ("контейнер", "контейнеры", "поиска", "поисковый", "новость", "Новость", "процесс", "данных")
-UNSTABLE = ("Docker-Compose the ﬁne x_y ½ ＡＢ --", "ｓｅａｒｃｈ №5 x²", "plain words", "")
+#: Characters that have full-width forms, and a query with every sign.
+PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+ASKED = '+%s -%s "%s" @%s #%s %s "" +'
 SNIPPETS = (
     (1, "search engine ranks docker pages", ["docker"]),
     (2, "alpha beta gamma", ["beta", "alpha"]),
@@ -104,13 +101,18 @@ def vocab_stem_en(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stem_ru_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return small(spark, [(w,) for w in RUSSIAN], "word string").select("word", X.stem(F.col("word")).alias("stem"), X.detect_lang(F.col("word")).alias("lang"), X.has_cyrillic(F.col("word")).alias("cyrillic"))
+    """The words of the documents as the Russian layout gives them, which have all letters and many endings of Russian."""
+    words = occurrences(corpora.documents(spark, sf_dir)).select("word").distinct()
+    typed = words.select(X.layout_ru(F.col("word")).alias("word")).where("word is not null").distinct()
+    return X.with_stem(typed, "word", "stem").select("word", "stem", X.detect_lang(F.col("word")).alias("lang"), X.has_cyrillic(F.col("word")).alias("cyrillic"))
 
 
 @query
 def nfkc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of texts that normalisation changes."""
-    return small(spark, [*enumerate(UNSTABLE)], "n bigint, text string").select("n", F.array_join(X.raw_words(F.col("text")), "|").alias("words"))
+    """The documents in full-width letters and digits, which normalisation makes plain again: the words come out as those of the plain texts."""
+    wide = F.translate("content", PLAIN, "".join(chr(ord(c) + 0xFEE0) for c in PLAIN))
+    words = corpora.documents(spark, sf_dir).select("doc_idx", X.raw_words(wide).alias("words"))
+    return words.select("doc_idx", F.size("words").cast("bigint").alias("n_words"), F.md5(F.array_join("words", "|").cast("binary")).alias("digest"))
 
 
 @query
@@ -230,7 +232,8 @@ def search_batch_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([*enumerate(RAW_QUERIES)], "query_id bigint, query string")
+    """Queries with every sign, made of the parts' names, types and brands."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("query_id"), F.format_string(ASKED, "p_brand", "p_type", "p_name", "p_type", "p_brand", "p_name").alias("query"))
     columns = parsed_columns(F.col("query"))
     joined = [F.array_join(columns[n], "|").alias(n) for n in ("required", "excluded", "words", "tags")]
     return rows.select("query_id", *joined, columns["phrase"].alias("phrase"), columns["category"].alias("category"))
@@ -332,7 +335,11 @@ def providers_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bots_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(BOTS, "ord bigint, name string, platform string, commands array<string>")
+    """Bots named by the first word of each turn, registered turn after turn; the last turn with a word decides."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    commands = F.array(F.lit(" /start"), F.concat(F.lit("/"), "role", F.lit(" ")), F.lit(""), F.lit("/start"), F.concat(F.lit("/turn"), "turn"))
+    name = F.concat(F.lit(" "), F.substring_index("text", " ", 1), F.lit(" "))
+    rows = said.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("ord"), name.alias("name"), F.col("role").alias("platform"), commands.alias("commands"))
     return catalog.clean_bots(rows).select("name", "platform", F.array_join("commands", ",").alias("commands"))
 
 
@@ -421,8 +428,9 @@ def rag_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def layout_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = small(spark, [(w,) for w in TYPED], "word string")
-    return rows.select("word", X.layout_ru(F.col("word")).alias("ru"), X.layout_en(F.col("word")).alias("en"))
+    """The words of the documents as the Russian layout gives them, and back."""
+    words = occurrences(corpora.documents(spark, sf_dir)).select("word").distinct()
+    return words.select("word", X.layout_ru(F.col("word")).alias("ru"), X.layout_en(X.layout_ru(F.col("word"))).alias("back"))
 
 
 @query

@@ -94,3 +94,9 @@ def test_catalogue(spark):
     assert catalog.providers(spark, "локальные", "LLAMA").count() > 0
     with pytest.raises(ValueError, match="name"):
         catalog.BotRegistry(spark).register(" ", "x")
+
+
+def test_commands_are_trimmed_and_distinct(spark):
+    rows = spark.createDataFrame([(0, "a", "x", ["1 ", " 1", "", " /b ", "/turn1"]), (1, " a ", "y", [" /c", "/c ", "0"])], "ord bigint, name string, platform string, commands array<string>")
+    assert [tuple(r) for r in catalog.clean_bots(rows).collect()] == [(0, "a", "y", ["/c", "0"])]
+    assert catalog.clean_bots(rows.where("ord = 0")).first()["commands"] == ["1", "/b", "/turn1"]
