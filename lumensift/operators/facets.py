@@ -21,14 +21,28 @@ def tags(docs: DataFrame) -> DataFrame:
 
 
 def both(docs: DataFrame) -> DataFrame:
-    """(kind, value, count) of categories and tags."""
-    return categories(docs).select(F.lit("category").alias("kind"), F.col("category").alias("value"), "count").union(tags(docs).select(F.lit("tag"), "tag", "count"))
+    """(kind, value, count) of categories and tags, from one scan."""
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    category = F.lower(F.coalesce("category", F.lit("")))
+    tagged = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: entry("tag", F.lower(t)))
+    entries = F.concat(F.when(category != "", F.array(entry("category", category))).otherwise(F.array().cast("array<struct<kind: string, value: string>>")), tagged)
+    return docs.select(F.inline(entries)).groupBy("kind", "value").agg(F.count("*").alias("count"))
+
+
+def cube(docs: DataFrame, bits: int = 12) -> DataFrame:
+    """(category, tag, count, n_docs) of each category with each tag, each category, each tag, and all; null stands for any. One scan: the pairs are counted once, and the other
+    sets from them. count: tags of documents; n_docs: their distinct documents, estimated by sketches of 2 ** bits registers, which are merged from set to set."""
+    rows = docs.select("doc_idx", F.lower(F.coalesce("category", F.lit(""))).alias("category"), F.explode("tags").alias("tag"))
+    pairs = rows.groupBy("category", F.lower("tag").alias("tag")).agg(F.count("*").alias("count"), F.hll_sketch_agg("doc_idx", bits).alias("sketch"))
+    by = [["category", "tag"], ["category"], ["tag"], []]
+    sets = pairs.groupingSets(by, "category", "tag").agg(F.sum("count").alias("count"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_docs"))
+    return sets.select("category", "tag", "count", "n_docs")
 
 
 def statistics(index: SearchIndex) -> DataFrame:
-    """One row: docs, terms, avg_field_length (two decimals)."""
-    lengths = index.doc_stats.agg(F.count("*").alias("docs"), rounded(F.coalesce(F.avg("doc_len"), F.lit(0.0)), 2).alias("avg_field_length"))
-    return lengths.join(index.terms.agg(F.count("*").alias("terms")), F.lit(True)).select("docs", "terms", "avg_field_length")
+    """One row: docs, terms, avg_field_length (two decimals), total_tokens of the bodies."""
+    lengths = index.doc_stats.agg(F.count("*").alias("docs"), rounded(F.coalesce(F.avg("doc_len"), F.lit(0.0)), 2).alias("avg_field_length"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_tokens"))
+    return lengths.join(index.terms.agg(F.count("*").alias("terms")), F.lit(True)).select("docs", "terms", "avg_field_length", "total_tokens")
 
 
 def listing(docs: DataFrame, category: str | None = None, tag: str | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from lumensift.plans.query import parsed_columns
 from lumensift.schema import small
 from lumensift.sources import corpora
 from lumensift.sources.state import Store
-from lumensift.streaming import learner
+from lumensift.streaming import learner, trending
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -323,6 +323,11 @@ def context_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.both(corpora.parts(spark, sf_dir))
 
 
+@query
+def facet_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.cube(corpora.documents(spark, sf_dir)).select("category", "tag", "count")
+
+
 @query
 def list_documents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facets.page(corpora.documents(spark, sf_dir), category="EN", tag="src1", limit=10, offset=5).select("doc_idx", "id", "title", "category")
@@ -372,6 +377,30 @@ def query_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.load()
 
 
+def _trending(spark: SparkSession, sf_dir: str, counted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    folder = _folder(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # every event comes twice
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_watched(spark, sf_dir, folder))
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    trending.written(counted(trending.events(twice, "event_type", "ts", "event_id", "2 hours", "user_id")), f"{folder}/trending", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/trending")
+
+
+@query
+def trending_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding windows of an hour over the events, as far as they are final."""
+    rows = _trending(spark, sf_dir, trending.windows)
+    return rows.select(F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "query", "n")
+
+
+@query
+def trending_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the users, with gaps of half an hour, as far as they are final."""
+    rows = _trending(spark, sf_dir, lambda events: trending.sessions(events, "user_id"))
+    return rows.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 @query
 def state_backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts that went through a snapshot and back, after the state was emptied."""
