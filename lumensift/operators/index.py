@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.functions import text as X
+from lumensift.operators import phrases
 from lumensift.operators import typos as T
 from lumensift.schema import EngineConfig, small
 
@@ -45,6 +46,7 @@ class SearchIndex:
     counted: tuple[int, float] | None = None  #: the corpus numbers of a saved index
     staged: DataFrame | None = None  #: counts by word and document, which the other tables come from
     typos: DataFrame | None = None  #: parts of terms for config.levenshtein_limit edits
+    positions: DataFrame | None = None  #: places of words, of an index that was saved with them
 
     @cached_property
     def corpus(self) -> tuple[int, float]:
@@ -76,11 +78,13 @@ class SearchIndex:
         for df in reversed(self._tables):
             df.unpersist()
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, positions: bool = False) -> None:
         """Parquet, sorted within files by what look-ups go by, so that row groups are skipped. `staged` is written first and the other tables come from what was written,
-        so texts are read once."""
+        so texts are read once (and once more for positions, which phrases are looked up in)."""
         spark = self.docs.sparkSession
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        self.docs.repartitionByRange("doc_idx").sortWithinPartitions("doc_idx").write.mode("overwrite").parquet(f"{path}/docs")
+        if positions:
+            phrases.places(self.docs).repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/positions")
         source = self
         if self.staged is not None:
             self.staged.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/staged")
@@ -92,7 +96,7 @@ class SearchIndex:
         T.entries(spark.read.parquet(f"{path}/terms"), limit).repartitionByRange("part").sortWithinPartitions("part").write.mode("overwrite").parquet(f"{path}/typos")
         row = spark.read.parquet(f"{path}/doc_stats").agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total")).first()
         mean = row["total"] / row["n"] if row["n"] else 0.0
-        small(spark, [(row["n"], mean, limit)], "n bigint, mean double, typo_limit int").write.mode("overwrite").parquet(f"{path}/corpus")
+        small(spark, [(row["n"], mean, limit, positions)], "n bigint, mean double, typo_limit int, positions boolean").write.mode("overwrite").parquet(f"{path}/corpus")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, config: EngineConfig | None = None) -> SearchIndex:
@@ -100,7 +104,7 @@ class SearchIndex:
         read, config = (lambda name: spark.read.parquet(f"{path}/{name}")), config or EngineConfig()
         corpus = read("corpus").first()
         typos = read("typos") if corpus["typo_limit"] == config.levenshtein_limit else None
-        return cls(read("docs"), read("postings"), read("terms"), read("forms"), read("doc_stats"), config, (corpus["n"], corpus["mean"]), typos=typos)
+        return cls(read("docs"), read("postings"), read("terms"), read("forms"), read("doc_stats"), config, (corpus["n"], corpus["mean"]), typos=typos, positions=read("positions") if corpus["positions"] else None)
 
     def register(self, prefix: str = "") -> None:
         """Temporary views, for SQL over the index."""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lumensift.functions import text as X
 from lumensift.functions.stopwords import STOP_WORDS
-from lumensift.operators import typos
+from lumensift.operators import phrases, typos
 from lumensift.operators.index import SearchIndex
 from lumensift.plans.query import ParsedQuery, parse, parsed_columns
 from lumensift.schema import small
@@ -212,7 +212,10 @@ def search(index: SearchIndex, query: str | None, *, limit: int | None = None, c
     category = parsed.category if category is None else category
     tags = parsed.tags if tags is None else tags
     if category or tags or parsed.phrase:
-        found = found.join(index.docs.where(passes(category, tags, parsed.phrase)).select("doc_idx"), "doc_idx", "left_semi")
+        docs = index.docs
+        if parsed.phrase and index.positions is not None:
+            docs = phrases.among(docs, phrases.candidates(index.positions, index.forms, parsed.phrase))
+        found = found.join(docs.where(passes(category, tags, parsed.phrase)).select("doc_idx"), "doc_idx", "left_semi")
     return SearchResult(index, query, parsed, resolved, found, limit)
 
 

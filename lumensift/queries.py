@@ -187,6 +187,17 @@ def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(_documents(spark, sf_dir), '"Apache License"')
 
 
+@query
+def search_phrase_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a saved index with the places of words, which say what documents are read."""
+    key = (spark.sparkContext.applicationId, sf_dir, "saved")
+    if key not in _INDEXES:
+        path = f"{_folder(spark)}/index"
+        _documents(spark, sf_dir).save(path, positions=True)
+        _INDEXES[key] = SearchIndex.load(spark, path)
+    return _hits(_INDEXES[key], '"Apache License"')
+
+
 @query
 def search_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(_documents(spark, sf_dir), "@EN thing")
