@@ -16,6 +16,7 @@ from lumensift.operators import catalog, facets, rag
 from lumensift.operators.highlight import with_fragments
 from lumensift.operators.index import SearchIndex, build
 from lumensift.operators.search import SearchResult, search
+from lumensift.operators.segments import GrowingIndex
 from lumensift.operators.suggest import did_you_mean, merged_suggestions
 from lumensift.schema import LANGUAGES, AppConfig, small
 from lumensift.sources import corpora
@@ -58,6 +59,7 @@ class SearchService:
     spark: SparkSession
     index: SearchIndex
     config: AppConfig = field(default_factory=AppConfig)
+    growing: GrowingIndex | None = None  #: where the index lies, if documents are added and deleted in place
 
     def __post_init__(self) -> None:
         self.started = time.time()
@@ -73,6 +75,30 @@ class SearchService:
         config = config or AppConfig()
         return cls(docs.sparkSession, build(docs, config.engine).persist(), config)
 
+    @classmethod
+    def on(cls, growing: GrowingIndex, config: AppConfig | None = None) -> SearchService:
+        """Over the documents of a growing index, which keeps what add_documents() and delete_documents() change."""
+        return cls(growing.spark, growing.view(), config or AppConfig(), growing)
+
+    def _changed(self) -> int:
+        self.index = self.growing.view()
+        return self.index.corpus[0]
+
+    def add_documents(self, documents: object) -> int:
+        """Adds documents (as import_dataset() takes them), or replaces those with their ids. Searches see all of them or none. Returns the number of documents."""
+        if self.growing is None:
+            raise ValueError("the index does not grow")
+        fresh = corpora.from_objects(self.spark, documents)
+        last = self.index.doc_stats.agg(F.max("doc_idx")).first()[0]
+        self.growing.replace(fresh.withColumn("doc_idx", F.col("doc_idx") + (last + 1)))
+        return self._changed()
+
+    def delete_documents(self, ids: list[str]) -> int:
+        if self.growing is None:
+            raise ValueError("the index does not grow")
+        self.growing.delete(small(self.spark, [(i,) for i in ids], "id string"))
+        return self._changed()
+
     def health(self) -> dict[str, Any]:
         return {"status": "ok", "uptime": time.time() - self.started, "docs": self.index.corpus[0], "learn": self.config.learn, "backup": self.store.enabled}
 

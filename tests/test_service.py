@@ -6,6 +6,7 @@ import pytest
 
 from lumensift.api import SearchService, bool_param, lang_param, list_param, parse_limit
 from lumensift.operators import catalog
+from lumensift.operators.segments import GrowingIndex
 from lumensift.schema import AppConfig, EngineConfig
 from lumensift.sources import corpora
 from lumensift.sources.state import Store
@@ -100,3 +101,14 @@ def test_commands_are_trimmed_and_distinct(spark):
     rows = spark.createDataFrame([(0, "a", "x", ["1 ", " 1", "", " /b ", "/turn1"]), (1, " a ", "y", [" /c", "/c ", "0"])], "ord bigint, name string, platform string, commands array<string>")
     assert [tuple(r) for r in catalog.clean_bots(rows).collect()] == [(0, "a", "y", ["/c", "0"])]
     assert catalog.clean_bots(rows.where("ord = 0")).first()["commands"] == ["1", "/b", "/turn1"]
+
+
+def test_service_over_a_growing_index(spark, tmp_path):
+    growing = GrowingIndex(spark, str(tmp_path / "g"))
+    growing.add(corpora.from_objects(spark, DOCS))
+    service = SearchService.on(growing, AppConfig(state_path=str(tmp_path / "state")))
+    assert service.add_documents([{"id": "new", "title": "Zebra docker", "content": "stripes"}, {**DOCS[1], "content": "only stripes now"}]) == 3
+    assert {h["id"] for h in service.search(query="stripes")["hits"]} == {"new", DOCS[1]["id"]}
+    assert service.delete_documents(["new"]) == 2 and service.search(query="zebra", fuzzy=False)["total"] == 2  # a word that nothing resolves is left out
+    with pytest.raises(ValueError, match="grow"):
+        SearchService(spark, service.index, service.config).delete_documents(["x"])
