@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Id, name, group and models of each provider.
@@ -87,13 +87,23 @@ def provider_rows() -> list[tuple[str, str, str, list[str]]]:
     return [*PROVIDERS]
 
 
+def _contains(query: Column) -> Column:
+    return F.contains(F.lower(F.concat_ws(" ", "name", "id", F.array_join("models", " "))), F.lower(F.trim(query)))
+
+
+def matching(queries: DataFrame) -> DataFrame:
+    """(query, id, name, group, models) of the providers that each of many queries(query) finds. The catalogue has a fixed, small number of rows."""
+    rows = queries.sparkSession.createDataFrame(PROVIDERS, PROVIDER)
+    return queries.select("query").where("trim(query) != ''").join(F.broadcast(rows), _contains(F.col("query")))
+
+
 def providers(spark: SparkSession, group: str | None = None, query: str | None = None) -> DataFrame:
     """Providers of a group whose name, id or models contain the query; case does not count."""
     rows = spark.createDataFrame(PROVIDERS, PROVIDER)
     if group and group.strip():
         rows = rows.where(F.lower("group") == group.strip().lower())
     if query and query.strip():
-        rows = rows.where(F.contains(F.lower(F.concat_ws(" ", "name", "id", F.array_join("models", " "))), F.lit(query.strip().lower())))
+        rows = rows.where(_contains(F.lit(query)))
     return rows
 
 

@@ -31,14 +31,7 @@ _INDEXES: dict[tuple, SearchIndex] = {}
 #: Characters that have full-width forms, and a query with every sign.
 PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 ASKED = '+%s -%s "%s" @%s #%s %s "" +'
-SNIPPETS = (
-    (1, "search engine ranks docker pages", ["docker"]),
-    (2, "alpha beta gamma", ["beta", "alpha"]),
-    (3, "x" * 30 + " cat " + "y" * 60 + " dog " + "z" * 30, ["cat", "dog"]),
-    (4, "x" * 30 + " CAT " + "y" * 60, ["bird", "cat"]),
-    (5, "w" * 50, ["none"]),
-    (6, "w" * 50, []),
-)
+FORMS = ("thing", "ingthe", "tion")
 BATCH = ((1, "thing erble"), (2, "ering"), (3, "thing -ering"), (4, "nicht"), (5, "thing @en"), (6, "erble #src1 #src2"), (7, "+thing the"))
 
 
@@ -305,9 +298,9 @@ def highlight_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snippets of several forms: ranges that unite, ranges apart, and no match."""
-    cut = F.pandas_udf(lambda text, forms: pd.Series(["|".join(fragments(t, list(f))) for t, f in zip(text, forms, strict=True)], dtype=object), "string")
-    return small(spark, SNIPPETS, "n bigint, text string, forms array<string>").select("n", cut("text", "forms").alias("fragments"))
+    """Snippets of all documents around three forms, two of which overlap: ranges that unite, ranges apart, and no match."""
+    cut = F.pandas_udf(lambda text: pd.Series(["|".join(fragments(t, list(FORMS))) for t in text], dtype=object), "string")
+    return corpora.documents(spark, sf_dir).select("doc_idx", cut("content").alias("fragments"))
 
 
 @query
@@ -346,7 +339,9 @@ def list_documents_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def providers_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.providers(spark, query="QWEN").select("id", "name", "group", F.array_join("models", ",").alias("models"))
+    """The providers that each word of the conversations finds."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.explode(X.raw_words(F.col("text"))).alias("query")).distinct()
+    return catalog.matching(said).select("query", "id", "name", "group", F.array_join("models", ",").alias("models"))
 
 
 @query
