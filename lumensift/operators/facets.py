@@ -42,7 +42,7 @@ def cube(docs: DataFrame, bits: int = 12) -> DataFrame:
 def statistics(index: SearchIndex) -> DataFrame:
     """One row: docs, terms, avg_field_length (two decimals), total_tokens of the bodies."""
     lengths = index.doc_stats.agg(F.count("*").alias("docs"), rounded(F.coalesce(F.avg("doc_len"), F.lit(0.0)), 2).alias("avg_field_length"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_tokens"))
-    return lengths.join(index.terms.agg(F.count("*").alias("terms")), F.lit(True)).select("docs", "terms", "avg_field_length", "total_tokens")
+    return lengths.join(index.known().agg(F.count("*").alias("terms")), F.lit(True)).select("docs", "terms", "avg_field_length", "total_tokens")
 
 
 def listing(docs: DataFrame, category: str | None = None, tag: str | None = None) -> DataFrame:

@@ -25,12 +25,11 @@ ALWAYS = ""
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """(word, doc_idx, at): the places, from 0 over title and content, of each indexed word of a document. ALWAYS has documents without places."""
+    """(word, doc_idx, at): each place, from 0 over title and content, of an indexed word of a document. ALWAYS has documents without places."""
     texts = X.normalised(docs.select("doc_idx", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content")), "title", "content")
-    words = texts.select("doc_idx", F.posexplode(F.concat(X.words_of(F.col("title")), X.words_of(F.col("content")))).alias("pos", "word")).where(~X.is_stop_word(F.col("word")))
-    known = words.groupBy("word", "doc_idx").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    words = texts.select("doc_idx", F.posexplode_outer(F.concat(X.words_of(F.col("title")), X.words_of(F.col("content")))).alias("at", "word")).where(~X.is_stop_word(F.col("word")))
     odd = docs.where(F.concat_ws(" ", "title", "content").rlike(X.UNSTABLE) | F.contains(F.concat_ws(" ", "title", "content"), F.lit("İ")))
-    return known.unionAll(odd.select(F.lit(ALWAYS), "doc_idx", F.array().cast("array<int>")))
+    return words.select("word", "doc_idx", "at").unionAll(odd.select(F.lit(ALWAYS), "doc_idx", F.lit(None).cast("int")))
 
 
 def parts(phrase: str) -> list[tuple[str, bool, bool]] | None:
@@ -73,7 +72,7 @@ def candidates(positions: DataFrame, forms: DataFrame, phrase: str) -> DataFrame
         return None
     named = small(positions.sparkSession, wanted, "word string, place int") if wanted else small(positions.sparkSession, [(ALWAYS, -1)], "word string, place int").limit(0)
     rows = positions.where(F.col("word").isin(*{w for w, _ in wanted})) if wanted else positions.limit(0)
-    met = rows.join(F.broadcast(named), "word").select("doc_idx", "place", F.explode("at").alias("pos"))
+    met = rows.join(F.broadcast(named), "word").select("doc_idx", "place", F.col("at").alias("pos"))
     in_row = met.groupBy("doc_idx", (F.col("pos") - F.col("place")).alias("start")).agg(F.count_distinct("place").alias("n")).where(F.col("n") == held)
     return in_row.select("doc_idx").union(positions.where(F.col("word") == ALWAYS).select("doc_idx")).distinct()
 
