@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from lumensift.functions import text as X
 from lumensift.operators import facets, phrases
 from lumensift.operators.index import build, occurrences
-from lumensift.operators.search import search
+from lumensift.operators import search as S
+from lumensift.operators.search import search, search_batch
 from lumensift.sources import corpora
 
 #: All characters that NFKC cannot change, as one class: slow, but plain.
@@ -60,6 +61,14 @@ def test_few_terms_read_few_words(index):
     assert re.search("word#\\d+ (IN|=)|word#\\d+ INSET", plan(search(index, "thing -ering").ranked))
 
 
+def test_batch_names_few_terms(spark, index, monkeypatch):
+    queries = spark.createDataFrame([(1, "thing erble"), (2, "ering -thing"), (3, "the"), (4, "nicht @de")], "query_id long, query string")
+    named = search_batch(index, queries, limit=5)
+    assert re.search("word#\\d+ (IN|=)|word#\\d+ INSET", plan(named))
+    monkeypatch.setattr(S, "NAMED", 0)
+    assert sorted(map(tuple, named.collect())) == sorted(map(tuple, search_batch(index, queries, limit=5).collect()))
+
+
 def test_places_are_rows(spark, sf_dir):
     rows = phrases.places(corpora.documents(spark, sf_dir))
     assert dict(rows.dtypes)["at"] == "int" and "Aggregate" not in plan(rows)
