@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumensift.functions import split
 from lumensift.functions import text as X
 from lumensift.functions.stopwords import STOP_WORDS
 from lumensift.schema import small
@@ -26,10 +27,9 @@ ALWAYS = ""
 
 def places(docs: DataFrame) -> DataFrame:
     """(word, doc_idx, at): each place, from 0 over title and content, of an indexed word of a document. ALWAYS has documents without places."""
-    texts = X.normalised(docs.select("doc_idx", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content")), "title", "content")
-    words = texts.select("doc_idx", F.posexplode_outer(F.concat(X.words_of(F.col("title")), X.words_of(F.col("content")))).alias("at", "word")).where(~X.is_stop_word(F.col("word")))
+    words = docs.select("doc_idx", "title", "content").mapInArrow(split.placed, "word string, doc_idx bigint, at int")
     odd = docs.where(F.concat_ws(" ", "title", "content").rlike(X.UNSTABLE) | F.contains(F.concat_ws(" ", "title", "content"), F.lit("İ")))
-    return words.select("word", "doc_idx", "at").unionAll(odd.select(F.lit(ALWAYS), "doc_idx", F.lit(None).cast("int")))
+    return words.unionAll(odd.select(F.lit(ALWAYS), "doc_idx", F.lit(None).cast("int")))
 
 
 def parts(phrase: str) -> list[tuple[str, bool, bool]] | None:

@@ -1,7 +1,7 @@
 """An index that grows: segments of documents, tombstones, and a manifest that says which of them count.
 
 A segment is a saved index of the documents that came together. Deleted documents become tombstones of their segments; with them the segment's small tables (terms, forms,
-lengths and parts for typos) are written anew, where only terms of deleted documents are counted again, while its postings stay as they are. A merge writes several
+lengths and parts for typos) are written anew: document frequencies lose those of the deleted documents, and only terms with a form that was first seen in one of these are counted again. A merge writes several
 segments as one, from their counts by word and document, so no text is read as text again. Each change ends in one commit of the manifest (see sources/versions.py),
 and readers have a whole version, the one before or the one after.
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.operators import typos as T
-from lumensift.operators.index import SearchIndex, build, of_staged
+from lumensift.operators.index import SearchIndex, build, of_staged, postings
 from lumensift.schema import EngineConfig
 from lumensift.sources.versions import VersionLog
 
@@ -96,16 +96,19 @@ class GrowingIndex:
         if gone.isEmpty():
             return segment
         after = {**segment, "gone": [*segment["gone"], f"{folder}/gone"], "tables": folder}
-        touched = self._read(segment, "staged").join(gone, "doc_idx", "left_semi").select("term").distinct()
-        touched.write.parquet(f"{at}/touched")
-        touched = self.spark.read.parquet(f"{at}/touched")
-        counted = of_staged(self._read(after, "docs"), self._read(after, "staged").join(touched, "term", "left_semi"), self.config)
-        for name in ("terms", "forms"):
-            kept = self._read(segment, name).join(touched, "term", "left_anti").unionByName(getattr(counted, name))
-            kept.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/{name}")
+        lost = self._read(segment, "staged").where("new").join(gone, "doc_idx", "left_semi").groupBy("term").agg(F.count("*").alias("lost"))
+        forms = self._read(segment, "forms")
+        moved = forms.withColumn("doc_idx", F.col("first_pos.doc_idx")).join(gone, "doc_idx", "left_semi").select("term").distinct()
+        moved.write.parquet(f"{at}/moved")
+        moved = self.spark.read.parquet(f"{at}/moved")
+        counted = of_staged(self._read(after, "docs"), self._read(after, "staged").join(moved, "term", "left_semi"), self.config)
+        less = self._read(segment, "terms").join(lost, "term", "left").withColumn("df", F.col("df") - F.coalesce("lost", F.lit(0))).drop("lost")
+        for name, kept in (("terms", less), ("forms", forms)):
+            rows = kept.join(moved, "term", "left_anti").unionByName(getattr(counted, name))
+            rows.repartition("term").sortWithinPartitions("term").write.parquet(f"{at}/{name}")
         self._read(segment, "doc_stats").join(gone, "doc_idx", "left_anti").write.parquet(f"{at}/doc_stats")
         entries = T.entries(self.spark.read.parquet(f"{at}/terms"), self.config.levenshtein_limit)
-        entries.repartitionByRange("part").sortWithinPartitions("part").write.parquet(f"{at}/typos")
+        entries.repartition("part").sortWithinPartitions("part").write.parquet(f"{at}/typos")
         return {**after, **self._described(folder)}
 
     def merge(self, most: int = 1) -> None:
@@ -132,11 +135,11 @@ class GrowingIndex:
         _, segments = self._segments()
         if not segments:
             raise ValueError(f"{self.path} has no documents")
-        tables = {name: _union([self._read(s, name) for s in segments]) for name in ("docs", "postings", "staged", *SMALL)}
+        tables = {name: _union([self._read(s, name) for s in segments]) for name in ("docs", "staged", *SMALL)}
         if len(segments) > 1:
             first = F.min("first_pos").alias("first_pos")
             tables["terms"] = tables["terms"].groupBy("term").agg(F.sum("df").alias("df"), first)
             tables["forms"] = tables["forms"].groupBy("term", "word").agg(first)
             tables["typos"] = tables["typos"].groupBy(*T.KEY, "term", "letters").agg(first)
         n, total = (sum(s[k] for s in segments) for k in ("n", "total"))
-        return SearchIndex(tables["docs"], tables["postings"], tables["terms"], tables["forms"], tables["doc_stats"], self.config, (n, total / n), tables["staged"], tables["typos"])
+        return SearchIndex(tables["docs"], postings(tables["staged"]), tables["terms"], tables["forms"], tables["doc_stats"], self.config, (n, total / n), tables["staged"], tables["typos"])

@@ -6,10 +6,12 @@ import re
 
 import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from lumensift.functions import split
 from lumensift.functions import text as X
 from lumensift.operators import facets, phrases
-from lumensift.operators.index import build, occurrences
+from lumensift.operators.index import build, lengths, occurrences, word_counts
 from lumensift.operators import search as S
 from lumensift.operators.search import search, search_batch
 from lumensift.sources import corpora
@@ -72,3 +74,30 @@ def test_batch_names_few_terms(spark, index, monkeypatch):
 def test_places_are_rows(spark, sf_dir):
     rows = phrases.places(corpora.documents(spark, sf_dir))
     assert dict(rows.dtypes)["at"] == "int" and "Aggregate" not in plan(rows)
+
+
+def test_words_inside_tasks(spark):
+    """Words, counts and lengths that tasks make are those of the expressions."""
+    texts = ["plain words, Words", "Docker-Compose the ﬁne ½ x_y", None, "", "İx ΑΣ i̇x", "é́ 1½ ﬁ"]
+    rows = spark.createDataFrame([(i, t, "ﬁne the x", t) for i, t in enumerate(texts)], "doc_idx long, title string, keywords_text string, content string")
+    said = occurrences(rows)
+    places = F.min(F.shiftleft(F.col("field").cast("long"), 32) + F.col("pos")).alias("place")
+    want = said.groupBy("word", "doc_idx").agg(*(F.count_if(F.col("field") == i).cast("int") for i in range(3)), places)
+    assert sorted(map(tuple, word_counts(rows).collect())) == sorted(map(tuple, want.collect()))
+    assert [split.words(t) for t in texts] == [r["w"] or [] for r in rows.select(X.raw_words(F.col("content")).alias("w")).collect()]
+    sizes = rows.select("doc_idx", F.coalesce(F.size(X.words(F.coalesce("content", F.lit("")))), F.lit(0)))
+    assert sorted(map(tuple, lengths(rows).collect())) == sorted(map(tuple, sizes.collect()))
+
+
+def test_counts_are_not_aggregated(index):
+    assert not re.search("Aggregate|Generate", plan(index.counts))
+    assert not re.search("Aggregate|Generate", plan(phrases.places(index.docs)))
+
+
+def test_saving_samples_nothing_and_keeps_words_once(spark, index, tmp_path, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(type(index.docs), "repartitionByRange", lambda *_: dealt.append(1))
+    index.save(tmp_path.as_uri())
+    assert not dealt and not {"postings", "counts"} & {p.name for p in tmp_path.iterdir()}
+    staged = spark.read.parquet(f"{tmp_path}/staged")
+    assert staged.where("new").count() == index.postings.count() == staged.select("term", "doc_idx").distinct().count()
