@@ -53,9 +53,15 @@ def parse(raw: str) -> ParsedQuery:
     return ParsedQuery(by["required"], by["excluded"], by["words"], last("phrases"), last("categories"), by["tags"])
 
 
-def parsed_columns(query: Column) -> dict[str, Column]:
-    """required, excluded, words, tags (arrays), phrase and category (null if there is none) of a query column."""
-    parts = F.regexp_extract_all(X.nfkc(F.trim(query)), F.lit(PART), 0)
+def parts_of(query: Column) -> Column:
+    """The parts of a query column, for parsed_columns()."""
+    return F.regexp_extract_all(X.nfkc(F.trim(query)), F.lit(PART), 0)
+
+
+def parsed_columns(query: Column, parts: Column | None = None) -> dict[str, Column]:
+    """required, excluded, words, tags (arrays), phrase and category (null if there is none) of a query column. parts: a column of rows that has parts_of() it; else
+    each of the results normalises and cuts the query again."""
+    parts = parts_of(query) if parts is None else parts
 
     def signed(sign: str) -> Column:
         return F.transform(F.filter(parts, lambda p: p.startswith(sign) & (F.char_length(p) > 1)), lambda p: F.substring(p, 2, 1 << 30))

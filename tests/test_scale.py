@@ -14,6 +14,7 @@ from lumensift.operators import facets, phrases
 from lumensift.operators.index import build, lengths, occurrences, word_counts
 from lumensift.operators import search as S
 from lumensift.operators.search import search, search_batch
+from lumensift.plans.query import parsed_columns, parts_of
 from lumensift.sources import corpora
 
 #: All characters that NFKC cannot change, as one class: slow, but plain.
@@ -101,3 +102,11 @@ def test_saving_samples_nothing_and_keeps_words_once(spark, index, tmp_path, mon
     assert not dealt and not {"postings", "counts"} & {p.name for p in tmp_path.iterdir()}
     staged = spark.read.parquet(f"{tmp_path}/staged")
     assert staged.where("new").count() == index.postings.count() == staged.select("term", "doc_idx").distinct().count()
+
+
+def test_queries_are_cut_once(spark):
+    rows = spark.createDataFrame([('+ﬁne -b "a phrase" @En #t w " " +',), (None,), ("",)], "query string")
+    once = rows.withColumn("parts", parts_of(F.col("query")))
+    columns, plain = parsed_columns(F.col("query"), F.col("parts")), parsed_columns(F.col("query"))
+    assert plan(once.select(*(c.alias(n) for n, c in columns.items()))).count("regexp_extract_all") == 1
+    assert once.select(*(c.alias(n) for n, c in columns.items())).collect() == rows.select(*(c.alias(n) for n, c in plain.items())).collect()
