@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.util import PythonEvalType
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,3 +111,11 @@ def test_queries_are_cut_once(spark):
     columns, plain = parsed_columns(F.col("query"), F.col("parts")), parsed_columns(F.col("query"))
     assert plan(once.select(*(c.alias(n) for n, c in columns.items()))).count("regexp_extract_all") == 1
     assert once.select(*(c.alias(n) for n, c in columns.items())).collect() == rows.select(*(c.alias(n) for n, c in plain.items())).collect()
+
+
+def test_nfkc_has_one_text_at_a_time():
+    """pandas would hold all texts of a batch as Python strings, before and after."""
+    import pyarrow as pa
+
+    assert X._nfkc.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    assert X._nfkc.func(pa.array(["ﬁne", None, "", "plain"])).to_pylist() == ["fine", None, "", "plain"]
