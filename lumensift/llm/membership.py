@@ -22,7 +22,7 @@ class Members:
     def __init__(self, values: DataFrame, column: str):
         n = values.count()
         self.bits = min(BITS[1], max(BITS[0], (16 * n).bit_length()))
-        slots = values.where(F.col(column).isNotNull()).select(self._slot(F.col(column)).alias("slot"))
+        slots = values.where(F.col(column).isNotNull()).select(self.slot(F.col(column)).alias("slot"))
         pieces = slots.groupBy(F.shiftright("slot", PIECE).alias("piece")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND((1 << PIECE) - 1)).alias("bitmap"))
         flat = np.zeros((1 << self.bits) // 8, np.uint8)
         for r in pieces.collect():  # at most 2 ** (27 - 15) pieces of 4 KB
@@ -30,16 +30,20 @@ class Members:
             flat[r["piece"] * len(own) :][: len(own)] = own
         self.shared = values.sparkSession.sparkContext.broadcast(flat)
 
-    def _slot(self, value: Column) -> Column:
+    def slot(self, value: Column) -> Column:
+        """The number that has() asks for."""
         return F.pmod(F.xxhash64(value), F.lit(1 << self.bits))
 
+    def has(self, at: np.ndarray) -> np.ndarray:
+        """Whether slots are set, inside a task."""
+        return (self.shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
     def may_have(self, value: Column) -> Column:
         """Whether a value may be a member. Null: not."""
-        shared = self.shared
+        has = self.has
 
         @F.pandas_udf("boolean")
         def is_set(slot: pd.Series) -> pd.Series:
-            at = slot.to_numpy()
-            return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+            return pd.Series(has(slot.to_numpy()))
 
-        return value.isNotNull() & is_set(self._slot(value))
+        return value.isNotNull() & is_set(self.slot(value))

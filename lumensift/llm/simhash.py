@@ -304,14 +304,18 @@ def similar_links(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMI
     keyed = known.mapInArrow(keys, "key int, fp long, node long").repartition(partitions(docs), "key")
     links = keyed.mapInArrow(lambda batches: _candidate_links(batches, limit), "a long, b long")
 
+    labels = components(links)
+    members = Members(labels, "node")
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(members.has(batch.column(0).to_numpy())))
             elements = [shingles(t.as_buffer().to_pybytes(), shingle).view(np.int64) for t in batch.column(2).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(elements, pa.list_(pa.int64()))], ["root", "node", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(elements, pa.list_(pa.int64()))], ["node", "elements"])
 
-    labels = components(links)
-    met = rows.where(Members(labels, "node").may_have(F.col("node"))).join(labels, "node").select("root", "node", "text")
-    found = written(met.mapInArrow(sets, "root long, node long, elements array<long>").dropDuplicates(["node"]))
+    # Members are told in the function that makes the sets: a Python filter before it would give each task a second worker, whose memory stays
+    met = rows.select(members.slot(F.col("node")).alias("slot"), "node", "text").mapInArrow(sets, "node long, elements array<long>").dropDuplicates(["node"])
+    found = written(met.join(labels, "node").select("root", "node", "elements"))
     return overlaps(found, similar)
 
 

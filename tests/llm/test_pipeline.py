@@ -90,6 +90,16 @@ def test_a_large_group_of_near_copies(spark):
     assert kept == alone(rows)
 
 
+def test_sets_take_one_worker_a_task(spark, monkeypatch):
+    """No stage that makes shingle sets has a second Python operator, whose workers would hold memory of their own."""
+    plans = []
+    monkeypatch.setattr(simhash, "written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df))[1])
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words alone")], "doc_id long, text string")
+    assert simhash.similar_links(docs).count() == 1
+    assert len(plans) == 1 and plans[0].count("MapInArrow") == 1 and "EvalPython" not in plans[0]
+
+
 def alone(rows):
     """The doc_ids that stay if all pairs are looked at."""
     sets, root = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
