@@ -13,7 +13,6 @@ plans have no Python. NFKC normalisation is not among them (Spark lacks it): the
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 from pyspark.sql import Row, SparkSession
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from lumensift.functions import text as X
+from lumensift.functions.split import words
 from lumensift.functions.stopwords import STOP_WORDS
 
 
@@ -100,11 +100,6 @@ def bodies() -> dict[str, tuple[str, str, str]]:
 class Tokenize:
     """(id, pos, word, stop) of each word of a table's texts, as the index reads them."""
 
-    def __init__(self) -> None:
-        import regex
-
-        self.words = regex.compile(X.WORD).findall
-
     @staticmethod
     def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, text: AnalyzeArgument) -> AnalyzeResult:
         if not rows.isTable or not isinstance(rows.dataType, T.StructType):
@@ -115,18 +110,13 @@ class Tokenize:
         return AnalyzeResult(T.StructType([T.StructField("id", kind), T.StructField("pos", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("stop", T.BooleanType())]))
 
     def eval(self, row: Row, key: str, text: str) -> Iterator[tuple]:
-        value = row[text]
-        if value is None:
-            return
-        value = unicodedata.normalize("NFKC", value)
-        found = map(str.lower, self.words(value)) if "İ" in value else self.words(value.lower())
-        for pos, word in enumerate(found):
-            yield row[key], pos, word, word in STOP_WORDS
+        own, of = row[key], row[text]
+        return ((own, pos, word, word in STOP_WORDS) for pos, word in enumerate(words(of)))
 
 
 def register_functions(spark: SparkSession) -> list[str]:
     """Makes all functions of this module temporary functions of the session. Returns their names."""
     for name, (argument, kind, body) in bodies().items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({argument} STRING) RETURNS {kind} RETURN {body}")
-    spark.udtf.register("lumen_tokenize", F.udtf(Tokenize))
+    spark.udtf.register("lumen_tokenize", F.udtf(Tokenize, useArrow=True))  # else each word is pickled as a row
     return [*bodies(), "lumen_tokenize"]

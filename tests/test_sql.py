@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumensift.functions import text as X
 from lumensift.functions.sql import register_functions
 from lumensift.operators.index import occurrences
+from lumensift.queries import QUERIES
 from lumensift.sources import corpora
 
 RUSSIAN = ("контейнер", "контейнеры", "поиска", "поисковый", "новость", "Новость", "процесс", "данных", "ёлками", "бежавшись", "красивейшего", "читаемый", "смотрится", "радость", "й", "стр")
@@ -55,3 +56,7 @@ def test_table_function(spark, sf_dir):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     spark.createDataFrame([("k", None), ("l", ""), ("m", "ＡＢ the ½ x")], "k string, t string").createOrReplaceTempView("some_docs")
     assert [tuple(r) for r in spark.sql("SELECT * FROM lumen_tokenize(TABLE(some_docs), 'k', 't') ORDER BY pos").collect()][:2] == [("m", 0, "ab", False), ("m", 1, "the", True)]
+
+
+def test_table_function_gives_arrow_batches(spark, sf_dir):
+    assert "ArrowEvalPythonUDTF" in QUERIES["sql_tokenize"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
