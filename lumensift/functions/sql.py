@@ -7,13 +7,13 @@ plans have no Python. NFKC normalisation is not among them (Spark lacks it): the
     lumen_is_stop(word)    whether a word is not indexed    lumen_stem_en, lumen_stem_ru
     lumen_lang(text)       ru or en                         lumen_layout_ru(word), lumen_layout_en(word)
 
-    SELECT explode(words) FROM (SELECT lumen_words(text) AS words FROM docs)   -- a generator's own argument cannot be a SQL function
+    SELECT explode_outer(words) FROM (SELECT lumen_words(text) AS words FROM docs)   -- a generator's own argument cannot be a SQL function; not explode, for which Spark finds all words twice
     SELECT * FROM lumen_tokenize(TABLE(docs), 'doc_id', 'text')   -- id, pos, word, stop
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
@@ -40,25 +40,31 @@ def _staged(value: str, steps: list[str]) -> str:
     return value
 
 
+def _if_ends(length: int, endings: Iterable[str], value: str) -> str:
+    """`value` for words that have one of the endings: few words come to the patterns, which are slow."""
+    return f"CASE WHEN right(w, {length}) IN ({', '.join(f"'{x}'" for x in sorted(set(endings)))}) THEN {value} ELSE w END"
+
+
 def _suffixes(pairs: tuple[tuple[str, str], ...], stem: str) -> str:
     pattern = f"^({stem})({'|'.join(suffix for suffix, _ in pairs)})$"
     to = ", ".join(f"'{suffix}', '{new}'" for suffix, new in pairs)
-    return f"CASE WHEN rlike(w, {_raw(pattern)}) THEN concat(regexp_extract(w, {_raw(pattern)}, 1), element_at(map({to}), regexp_extract(w, {_raw(pattern)}, 2))) ELSE w END"
+    replaced = f"CASE WHEN rlike(w, {_raw(pattern)}) THEN concat(regexp_extract(w, {_raw(pattern)}, 1), element_at(map({to}), regexp_extract(w, {_raw(pattern)}, 2))) ELSE w END"
+    return _if_ends(2, (suffix[-2:] for suffix, _ in pairs), replaced)
 
 
 def _english() -> str:
     v, c, vowels = f"[{X.VOWELS}]", f"[^{X.VOWELS}]", X.VOWELS
     mark = r"\x01"
     steps = [
-        _replace("w", "^(.*(?:ss|i))es$|^(.*[^s])s$", "'$1$2'"),
-        f"CASE WHEN endswith(w, 'eed') THEN {_replace('w', f'^(.*{v}.*)eed$', "'$1ee'")} ELSE {_replace('w', f'^(.*{v}.*)(?:ed|ing)$|^(.*(?:ed|ing))$', "concat('$1$2', chr(1))")} END",
-        f"CASE WHEN rlike(w, {_raw(f'(?:at|bl|iz){mark}$')}) OR rlike(w, {_raw(f'^{c}+{v}[^{vowels}wx]{mark}$')}) THEN translate(w, chr(1), 'e') ELSE {_replace('w', rf'([^{vowels}lsz])\1{mark}$|{mark}$', "'$1'")} END",
-        _replace("w", f"^(.*{v}.*)y$", "'$1i'"),
+        _if_ends(1, "s", _replace("w", "^(.*(?:ss|i))es$|^(.*[^s])s$", "'$1$2'")),
+        f"CASE WHEN endswith(w, 'eed') THEN {_replace('w', f'^(.*{v}.*)eed$', "'$1ee'")} WHEN endswith(w, 'ed') OR endswith(w, 'ing') THEN {_replace('w', f'^(.*{v}.*)(?:ed|ing)$|^(.*(?:ed|ing))$', "concat('$1$2', chr(1))")} ELSE w END",
+        f"CASE WHEN NOT endswith(w, chr(1)) THEN w WHEN rlike(w, {_raw(f'(?:at|bl|iz){mark}$')}) OR rlike(w, {_raw(f'^{c}+{v}[^{vowels}wx]{mark}$')}) THEN translate(w, chr(1), 'e') ELSE {_replace('w', rf'([^{vowels}lsz])\1{mark}$|{mark}$', "'$1'")} END",
+        _if_ends(1, "y", _replace("w", f"^(.*{v}.*)y$", "'$1i'")),
         _suffixes(X.STEP_2, X.OVER_0),
         _suffixes(X.STEP_3, X.OVER_0),
         _suffixes(X.STEP_4, X.OVER_1),
-        f"CASE WHEN rlike(w, {_raw(f'^{c}*{v}+{c}*e$')}) AND NOT rlike(w, {_raw(f'{c}{v}[^{vowels}wx]e$')}) THEN {_replace('w', 'e$', "''")} ELSE {_replace('w', f'^({X.OVER_1})e$', "'$1'")} END",
-        _replace("w", rf"^({X.OVER_1}([lsz]))\2$", "'$1'"),
+        _if_ends(1, "e", f"CASE WHEN rlike(w, {_raw(f'^{c}*{v}+{c}*e$')}) AND NOT rlike(w, {_raw(f'{c}{v}[^{vowels}wx]e$')}) THEN {_replace('w', 'e$', "''")} ELSE {_replace('w', f'^({X.OVER_1})e$', "'$1'")} END"),
+        _if_ends(1, "lsz", _replace("w", rf"^({X.OVER_1}([lsz]))\2$", "'$1'")),
     ]
     return f"CASE WHEN char_length(lower(word)) < 3 THEN lower(word) ELSE {_staged('lower(word)', steps)} END"
 

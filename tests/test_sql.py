@@ -58,5 +58,11 @@ def test_table_function(spark, sf_dir):
     assert [tuple(r) for r in spark.sql("SELECT * FROM lumen_tokenize(TABLE(some_docs), 'k', 't') ORDER BY pos").collect()][:2] == [("m", 0, "ab", False), ("m", 1, "the", True)]
 
 
+def test_words_are_found_once(spark, sf_dir):
+    """explode() would have Spark filter by the size of the words first, and find them twice."""
+    plan = QUERIES["sql_stem_counts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan and "explode(words" in plan
+
+
 def test_table_function_gives_arrow_batches(spark, sf_dir):
     assert "ArrowEvalPythonUDTF" in QUERIES["sql_tokenize"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
