@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumensift.operators import typos
-from lumensift.operators.index import build
+from lumensift.operators.index import build, vocabulary
 from lumensift.operators.search import nearest, search, search_batch
 from lumensift.sources import corpora
 
@@ -99,3 +99,32 @@ def test_many_misspelt_words(spark, sf_dir):
     back = words.join(near.select(F.col("word").alias("w"), F.col("term").alias("t")), F.expr("word = w and was = t"), "left").where("word != was")
     assert back.where("t is null").count() == 0 and back.count() > 1000
     terms.unpersist()
+
+
+def test_many_words_by_what_is_left_of_them(spark, monkeypatch):
+    """Terms around the longest that are met by their rests, and shorter and longer ones, against all with all."""
+    monkeypatch.setattr(typos, "LONGEST", 6)
+    known, asked = made(11, 300, "abc", 9), made(12, 150, "abc", 10)
+    terms = spark.createDataFrame([(t, (i, 0, 0)) for i, t in enumerate(known)], TERMS)
+    words = spark.createDataFrame([(w,) for w in asked], "word string")
+    near = {(r["word"], r["term"], r["first_pos"]["doc_idx"], r["dist"]) for r in typos.within_of_many(terms, words, 2, 10_000).collect()}
+    assert near == {(w, t, i, distance(w, t)) for w in asked for i, t in enumerate(known) if 1 <= distance(w, t) <= 2}
+    got = {tuple(r) for r in typos.nearest_of_many(terms, words, 2, 3, 12).collect()}
+    assert got == {tuple(r) for r in typos.nearest(typos.entries(terms, 2), typos.probes(words, 2), 2, 3, 12).collect()}
+
+
+def test_candidates_grow_with_the_vocabulary(spark):
+    """Terms that share a part with a word, but little else, do not meet it."""
+    rng = random.Random(13)
+    known = sorted({"abc" + "".join(rng.choice("defghijklmnopq") for _ in range(6)) for _ in range(2000)})
+    terms = spark.createDataFrame([(t, (i, 0, 0)) for i, t in enumerate(known)], TERMS)
+    words = spark.createDataFrame([("abc" + "r" * 6,)], "word string")
+    by_rest = typos.rests(terms.select(F.col("term").alias("word")), 2).join(typos.rests(words, 2).select("rest"), "rest")
+    by_part = typos.entries(terms, 2).join(typos.probes(words, 2), list(typos.KEY))
+    assert by_rest.count() == 0 and by_part.count() >= len(known)
+
+
+def test_vocabulary_is_the_forms_of_an_index(spark):
+    docs = corpora.from_objects(spark, [{"id": str(i), "title": t, "content": c, "keywords": k} for i, (t, c, k) in enumerate([("Docker", "running the runs", "x y"), ("", "docker ran", None), ("runs", "", "Docker")])])
+    rows = lambda df: {(r["term"], r["word"], tuple(r["first_pos"])) for r in df.collect()}
+    assert rows(vocabulary(docs)) == rows(build(docs).forms)
